@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from touchline.operators.scans import FRAME_BUCKET
 from touchline.session import durable
 
-Step = Callable[[tuple, tuple], tuple[tuple, tuple]]
+Step = Callable[[tuple, int, tuple], tuple[tuple, tuple]]
 
 
 def fold(
@@ -35,10 +35,10 @@ def fold(
     size: int = FRAME_BUCKET,
     warmup: int = 256,
 ) -> DataFrame:
-    """Fold ``step(state, row) -> (state, result)`` along ``order`` inside ``keys``.
+    """Fold ``step(state, at, row) -> (state, result)`` along ``order`` inside ``keys``.
 
-    ``order`` is a non-negative integer column, unique inside a group. ``row`` is
-    the tuple of ``inputs``; ``result`` the tuple of the DDL ``output``. Every input
+    ``order`` is a non-negative integer column, unique inside a group, and ``at`` its
+    value. ``row`` is the tuple of ``inputs``; ``result`` the tuple of the DDL ``output``. Every input
     row gives one row (keys, order, output). States are flat tuples of JSON values.
     """
     results = T.StructType.fromDDL(output)
@@ -69,7 +69,7 @@ def fold(
             own = home == bucket
             if own and entry is None:
                 entry = json.dumps(state)
-            state, result = step(state, row)
+            state, result = step(state, at, row)
             if own:
                 kept_order.append(at)
                 kept.append(result)

@@ -160,3 +160,41 @@ def supersede(rows: DataFrame, resets: DataFrame) -> DataFrame:
     joined = rows.join(last, "match_id", "left")
     flag = F.when(F.coalesce(hit, F.lit(False)), F.lit(1)).otherwise(F.col("superseded"))
     return joined.withColumn("superseded", flag.cast("int")).select(*rows.columns)
+
+
+def superseded_count(tables: list[DataFrame], resets: DataFrame) -> DataFrame:
+    """Rows per match that a reset would newly flag, over several tables."""
+    rows = tables[0]
+    for t in tables[1:]:
+        rows = rows.unionByName(t)
+    hit = (F.col("superseded") == 0) & upto(F.col("upto_half"), F.col("upto_minute"))
+    return rows.join(resets, "match_id").filter(hit).groupBy("match_id").agg(F.count("*").alias("n"))
+
+
+def match_progress(writes: DataFrame) -> DataFrame:
+    """Last written (half, minute) per match, in order of ``write_seq``."""
+    last = writes.groupBy("match_id").agg(F.max_by(F.struct("half", "minute"), "write_seq").alias("last"))
+    return last.select("match_id", F.col("last.half").alias("last_half"), F.col("last.minute").alias("last_minute"))
+
+
+def pass_summary(events: DataFrame) -> DataFrame:
+    """Successful and inaccurate passes per passing team; lost balls do not count."""
+    return events.filter(F.col("team_id").isin(0, 1)).groupBy("match_id", F.col("team_id").cast("int").alias("team_id")).agg(
+        F.count_if(F.col("kind") == "completed").alias("successful"),
+        F.count_if(F.col("kind") == "interception").alias("inaccurate"),
+    )
+
+
+def whole_match(rows: DataFrame) -> DataFrame:
+    """One row per match, stored as half 1, minute 1, without a duration."""
+    sums = [F.sum(c).cast("long").alias(c) for c in cnt.COUNTERS]
+    return rows.groupBy("match_id").agg(*sums).select(
+        "match_id", F.lit(1).alias("half"), F.lit(1).alias("minute"), F.lit(0.0).alias("clip_duration_seconds"), *cnt.COUNTERS
+    )
+
+
+def latest_post_processing(writes: DataFrame, details: list[str]) -> DataFrame:
+    """Last whole-match write per match; the path falls back to the row's own."""
+    path = F.coalesce(F.nullif(F.col("video_blob_path"), F.lit("")), F.col("clip_blob_path"))
+    kept = F.struct(*details, path.alias("video_blob_path"), *cnt.COUNTERS)
+    return writes.groupBy("match_id").agg(F.max_by(kept, "write_seq").alias("w")).select("match_id", "w.*")

@@ -53,6 +53,11 @@ def last_before(col: Column) -> Scan:
     return Scan("last_before", col)
 
 
+def highest_before(col: Column) -> Scan:
+    """Largest value strictly before this row."""
+    return Scan("highest_before", col)
+
+
 def first_seen(col: Column) -> Scan:
     """First non-null value of the group, once it has been reached."""
     return Scan("first", col)
@@ -101,6 +106,12 @@ def scan(df: DataFrame, keys: list[str], bucket: Column, order: list[str], out:
             zero = F.lit(0)
             final[name] = F.coalesce(F.col(c), zero) + F.coalesce(F.col(l), zero)
             continue
+        if s.kind == "highest_before":
+            local[l] = F.max(v).over(before)
+            digest.append(F.max(v).alias(d))
+            carry[c] = F.max(d).over(past)
+            final[name] = F.greatest(F.col(c), F.col(l))
+            continue
         if s.kind == "first":
             local[l] = F.first(v, ignorenulls=True).over(upto)
             carry[c] = F.first(d, ignorenulls=True).over(past)

@@ -1,6 +1,13 @@
 """All registered queries."""
 
-from touchline.plans import detection_queries  # noqa: F401
+from touchline.plans import (  # noqa: F401
+    detection_queries,
+    export_queries,
+    ingest_queries,
+    minute_queries,
+    pass_queries,
+    scalar_queries,
+)
 from touchline.plans.registry import CHECKS, QUERIES
 
 __all__ = ["CHECKS", "QUERIES"]

@@ -223,7 +223,7 @@ COMMIT = """same AS (SELECT *, CASE WHEN kind = lag(kind) OVER w AND track_id IS
 runs AS (SELECT *, sum(change) OVER (PARTITION BY match_id ORDER BY frame_idx) AS run FROM same),
 lengths AS (SELECT *, row_number() OVER (PARTITION BY match_id, run ORDER BY frame_idx) AS len FROM runs),
 marks AS (SELECT *, max(CASE WHEN len >= 3 THEN frame_idx END) OVER (PARTITION BY match_id ORDER BY frame_idx) AS at FROM lengths),
-committed AS (SELECT m.match_id, m.frame_idx, m.half, m.minute, coalesce(s.kind, 'oof') AS kind, s.track_id, s.team_id
+committed AS MATERIALIZED (SELECT m.match_id, m.frame_idx, m.half, m.minute, coalesce(s.kind, 'oof') AS kind, s.track_id, s.team_id
   FROM marks m LEFT JOIN {raw} s ON s.match_id = m.match_id AND s.frame_idx = m.at)
 """
 
