@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from touchline.functions.binding import let
+
 # fixed values: colour names callers may send
 NAMED_COLOURS = {
     "white": "#FFFFFF",
@@ -43,19 +45,24 @@ def normalise_colour(colour: Column) -> Column:
 
 def parse_colour(colour: Column, strict: bool = False) -> Column:
     """Struct r, g, b of a colour name or hex text; bad text gives null or an error."""
-    text = F.lower(F.regexp_replace(colour, r"^\s+|\s+$", ""))
     names = F.create_map(*[F.lit(x) for pair in NAMED_COLOURS.items() for x in pair])
-    hexa = F.lower(F.regexp_replace(F.coalesce(F.try_element_at(names, text), text), "^#+", ""))
-    hexa = F.when(F.length(hexa) == 3, F.regexp_replace(hexa, "(.)", "$1$1")).otherwise(hexa)
-
-    def part(start: int) -> Column:
-        return F.conv(F.substring(hexa, start, 2), 16, 10).cast("int")
-
-    rgb = F.struct(part(1).alias("r"), part(3).alias("g"), part(5).alias("b"))
     bad = F.lit(None)
     if strict:
         bad = F.raise_error(F.concat(F.lit("unrecognised colour: "), F.coalesce(colour, F.lit("null"))))
-    return F.when(hexa.rlike("^[0-9a-f]{6}$"), rgb).otherwise(bad)
+
+    def digits(text: Column) -> Column:
+        return F.lower(F.regexp_replace(F.coalesce(F.try_element_at(names, text), text), "^#+", ""))
+
+    def doubled(hexa: Column) -> Column:
+        return F.when(F.length(hexa) == 3, F.regexp_replace(hexa, "(.)", "$1$1")).otherwise(hexa)
+
+    def channels(hexa: Column) -> Column:
+        parts = {c: F.conv(F.substring(hexa, at, 2), 16, 10).cast("int") for c, at in (("r", 1), ("g", 3), ("b", 5))}
+        rgb = F.struct(*[v.alias(c) for c, v in parts.items()])
+        return F.when(hexa.rlike("^[0-9a-f]{6}$"), rgb).otherwise(bad)
+
+    text = F.lower(F.regexp_replace(colour, r"^\s+|\s+$", ""))
+    return let(let(let(text, digits), doubled), channels)
 
 
 def rgb_to_hsv(r: Column, g: Column, b: Column) -> Column:
@@ -87,9 +94,12 @@ def colour_vector(h: Column, s: Column, v: Column) -> Column:
 
 def text_vector(colour: Column) -> Column:
     """Cylindrical vector of a colour text, null for bad text."""
-    rgb = parse_colour(colour)
-    hsv = rgb_to_hsv(rgb["r"], rgb["g"], rgb["b"])
-    return F.when(rgb.isNotNull(), colour_vector(hsv["h"], hsv["s"], hsv["v"]))
+
+    def vector(rgb: Column) -> Column:
+        hsv = let(rgb_to_hsv(rgb["r"], rgb["g"], rgb["b"]), lambda c: colour_vector(c["h"], c["s"], c["v"]))
+        return F.when(rgb.isNotNull(), hsv)
+
+    return let(parse_colour(colour), vector)
 
 
 def colour_distance(p: Column, q: Column) -> Column:

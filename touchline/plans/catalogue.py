@@ -7,6 +7,7 @@ from touchline.plans import (  # noqa: F401
     minute_queries,
     pass_queries,
     scalar_queries,
+    team_queries,
 )
 from touchline.plans.registry import CHECKS, QUERIES
 
