@@ -6,8 +6,10 @@ from touchline.plans import (  # noqa: F401
     ingest_queries,
     minute_queries,
     pass_queries,
+    pitch_queries,
     scalar_queries,
     team_queries,
+    track_queries,
 )
 from touchline.plans.registry import CHECKS, QUERIES
 
