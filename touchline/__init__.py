@@ -1 +1,8 @@
 """touchline: match analytics on Spark DataFrames."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# functions sent to executors travel with their code, so workers need no copy of the package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

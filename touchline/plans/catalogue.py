@@ -4,6 +4,7 @@ from touchline.plans import (  # noqa: F401
     detection_queries,
     export_queries,
     ingest_queries,
+    live_queries,
     minute_queries,
     pass_queries,
     pitch_queries,

@@ -93,13 +93,13 @@ def c10(fx):
     return found.select("match_id", "frame_idx", "det_id", "best_iou")
 
 
-MERGED = f"""{PAIRS}, links AS (SELECT DISTINCT match_id, a, b FROM pairs WHERE iou >= 95e-2), both_ways AS (SELECT * FROM links UNION SELECT match_id, b, a FROM links),
+MERGED = f"""{PAIRS}, links AS (SELECT DISTINCT match_id, a, b FROM pairs WHERE iou >= 75e-2), both_ways AS (SELECT * FROM links UNION SELECT match_id, b, a FROM links),
 reach AS (SELECT match_id, a, b FROM both_ways UNION SELECT r.match_id, r.a, l.b FROM reach r JOIN both_ways l ON l.match_id = r.match_id AND l.a = r.b),
 merged AS (SELECT match_id, a AS track_id, least(a, min(b)) AS keep_id FROM reach GROUP BY match_id, a)"""
 
 
 def merged(fx):
-    return tk.merge_ids(tk.duplicate_pairs(fx.sql(CLOSE), 0.95))
+    return tk.merge_ids(tk.duplicate_pairs(fx.sql(CLOSE), 0.75))
 
 
 @query("i13_merged_ids", f"WITH {MERGED} SELECT * FROM merged")
