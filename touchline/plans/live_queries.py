@@ -8,6 +8,7 @@ from touchline.plans import pass_queries as pq
 from touchline.plans.detection_queries import ZONE
 from touchline.plans.registry import query
 from touchline.sources import writers
+from touchline.session import durable
 from touchline.streaming import live
 
 RULES = rs.get_ruleset("futsal")
@@ -63,13 +64,19 @@ def i17_batch(fx):
     return corrected(chain(fx))
 
 
-def stream(fx, files=6, per_batch=3, replay=False, extra=()):
-    """Clips written in scrambled order, run through the live query; its output folder."""
+def stream(fx, files=3, per_batch=2, replay=False, extra=()):
+    """Clips written in scrambled order within their half, run through the live query; its output folder.
+
+    Minute 1 of the next half always counts as expected, so the halves arrive one after the other.
+    """
     clips = live.clip_rows(fx.frames.withColumns(dict(extra)), fx.players, det.best_ball(fx.balls), [c for c, _ in extra])
-    if replay:
-        clips = clips.unionByName(clips.filter("minute % 2 = 0"))
     source, target = writers.scratch(fx.spark, "clips"), writers.scratch(fx.spark, "live")
-    clips.repartition(files, F.xxhash64("match_id", "half", "minute")).write.parquet(source)
+    clips = durable(clips)
+    for half in (1, 2):
+        arrived = clips.filter(F.col("half") == half)
+        if replay:
+            arrived = arrived.unionByName(arrived.filter("minute % 2 = 0"))
+        arrived.repartition(files, F.xxhash64("match_id", "half", "minute")).write.mode("append").parquet(source)
     arriving = fx.spark.readStream.schema(live.CLIP).option("maxFilesPerTrigger", per_batch).parquet(source)
     live.run_live(arriving, RULES, target).awaitTermination()
     return target
