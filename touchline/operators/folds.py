@@ -74,7 +74,7 @@ def fold(
                 kept_order.append(at)
                 kept.append(result)
         if not kept:
-            return pd.DataFrame({n: [] for n in names})
+            return pd.DataFrame({n: pd.Series([], dtype=object) for n in names})
         out = pd.DataFrame(kept, columns=result_names, dtype=object)
         out[order] = kept_order
         out["_bucket"] = bucket

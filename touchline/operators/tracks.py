@@ -85,13 +85,23 @@ def best_number(crops: DataFrame) -> DataFrame:
     return reads.groupBy(*TRACK).agg(best.alias("r")).select(*TRACK, "r.digits", "r.ocr_conf")
 
 
-def cells_of(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
-    """Grid cells a box touches, as structs gx, gy; a few per box."""
+def with_cells(boxes: DataFrame, x1: str, y1: str, x2: str, y2: str) -> DataFrame:
+    """One row per grid cell (gx, gy) a box touches; a few per box."""
 
-    def span(a: Column, b: Column) -> Column:
-        return F.sequence(F.floor(a / CELL_PX).cast("int"), F.floor(F.greatest(a, b) / CELL_PX).cast("int"))
+    def cell(c: str) -> Column:
+        return F.floor(F.col(c) / CELL_PX).cast("int")
 
-    return F.flatten(F.transform(span(x1, x2), lambda gx: F.transform(span(y1, y2), lambda gy: F.struct(gx.alias("gx"), gy.alias("gy")))))
+    columns = boxes.withColumn("gx", F.explode(F.sequence(cell(x1), F.greatest(cell(x1), cell(x2)))))
+    return columns.withColumn("gy", F.explode(F.sequence(cell(y1), F.greatest(cell(y1), cell(y2)))))
+
+
+def overlap(a: str, b: str) -> Column:
+    """IoU of the boxes whose columns start with ``a`` and ``b``."""
+    return geo.iou(geo.box(a), geo.box(b))
+
+
+def boxes_as(rows: DataFrame, prefix: str, *keep: Column | str) -> DataFrame:
+    return rows.select(*FRAME, *keep, *[F.col(c).alias(f"{prefix}{c}") for c in ("x1", "y1", "x2", "y2")])
 
 
 def duplicate_pairs(boxes: DataFrame, bar: float = DUPLICATE_IOU) -> DataFrame:
@@ -102,16 +112,15 @@ def duplicate_pairs(boxes: DataFrame, bar: float = DUPLICATE_IOU) -> DataFrame:
     """
     if bar <= 0.5:
         raise ValueError("centres are only sure to be shared above one half")
-    box = [F.col(c) for c in ("x1", "y1", "x2", "y2")]
-    wide = boxes.select(*FRAME, F.col("track_id").alias("a"), F.struct(*box).alias("p"), F.explode(cells_of(*box)).alias("cell"))
-    mid = F.struct(
-        F.floor((F.col("x1") + F.col("x2")) / 2 / CELL_PX).cast("int").alias("gx"),
-        F.floor((F.col("y1") + F.col("y2")) / 2 / CELL_PX).cast("int").alias("gy"),
+    wide = with_cells(boxes_as(boxes, "p_", F.col("track_id").alias("a")), "p_x1", "p_y1", "p_x2", "p_y2")
+    point = boxes_as(boxes, "q_", F.col("track_id").alias("b")).withColumns(
+        {
+            "gx": F.floor((F.col("q_x1") + F.col("q_x2")) / 2 / CELL_PX).cast("int"),
+            "gy": F.floor((F.col("q_y1") + F.col("q_y2")) / 2 / CELL_PX).cast("int"),
+        }
     )
-    point = boxes.select(*FRAME, F.col("track_id").alias("b"), F.struct(*box).alias("q"), mid.alias("cell"))
-    joined = wide.join(point, [*FRAME, "cell"]).filter("a < b")
-    overlap = geo.iou(*[[F.col(f"{s}.{c}") for c in ("x1", "y1", "x2", "y2")] for s in "pq"])
-    return joined.select(*FRAME, "a", "b", overlap.alias("iou")).filter(F.col("iou") >= bar)
+    joined = wide.join(point, [*FRAME, "gx", "gy"]).filter("a < b")
+    return joined.select(*FRAME, "a", "b", overlap("p_", "q_").alias("iou")).filter(F.col("iou") >= bar)
 
 
 def new_detections(detections: DataFrame, active: DataFrame, bar: float = MATCH_IOU) -> DataFrame:
@@ -119,11 +128,10 @@ def new_detections(detections: DataFrame, active: DataFrame, bar: float = MATCH_
 
     Boxes that overlap at all share a cell.
     """
-    box = ("x1", "y1", "x2", "y2")
-    d = detections.select(*FRAME, "det_id", F.struct(*box).alias("p"), F.explode(cells_of(*[F.col(c) for c in box])).alias("cell"))
-    t = active.select(*FRAME, F.struct(*box).alias("q"), F.explode(cells_of(*[F.col(c) for c in box])).alias("cell"))
-    overlap = geo.iou(*[[F.col(f"{s}.{c}") for c in box] for s in "pq"])
-    matched = d.join(t, [*FRAME, "cell"]).groupBy(*FRAME, "det_id").agg(F.max(overlap).alias("best_iou"))
+    found = with_cells(boxes_as(detections, "p_", "det_id"), "p_x1", "p_y1", "p_x2", "p_y2")
+    known = with_cells(boxes_as(active, "q_"), "q_x1", "q_y1", "q_x2", "q_y2")
+    pairs = found.join(known, [*FRAME, "gx", "gy"])
+    matched = pairs.groupBy(*FRAME, "det_id").agg(F.max(overlap("p_", "q_")).alias("best_iou"))
     best = detections.join(matched, [*FRAME, "det_id"], "left").fillna(0.0, ["best_iou"])
     return best.filter(F.col("best_iou") < bar)
 

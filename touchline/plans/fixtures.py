@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchline.operators import scans
+from touchline.session import durable
 
 TEXT: dict[str, str] = {}
 
@@ -257,6 +258,10 @@ def _spark(text: str) -> str:
     return re.sub(r"VARCHAR\(20\)", "STRING", text)
 
 
+# frames of a folder, written once per application: nearly every table starts from them
+_FRAMES: dict[tuple[str, str], DataFrame] = {}
+
+
 class Fixtures:
     """The derived tables of one folder as DataFrames."""
 
@@ -301,6 +306,12 @@ class Fixtures:
         return scans.number_rows(events, ["mno"], scans.day_bucket("ts"), ["ts", "event_id"], "frame_idx")
 
     def _fx_frames(self) -> DataFrame:
+        key = (self.spark.sparkContext.applicationId, self.dir)
+        if key not in _FRAMES:
+            _FRAMES[key] = durable(self._frames())
+        return _FRAMES[key]
+
+    def _frames(self) -> DataFrame:
         ev = self.table("fx_ev")
         half2 = F.col("frame_idx") >= 450
         return ev.select(
