@@ -93,23 +93,30 @@ def fold(
     first = cut.withColumn(
         "_bucket", F.explode(F.when(tail, F.array(F.col("_home"), F.col("_home") + 1)).otherwise(F.array("_home")))
     ).withColumn("_given", F.lit(None).cast("string"))
-    done = durable(folded(first))
+    def stored(pieces: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(rows, edges) of folded pieces, kept apart so that checking reads edges only."""
+        table = durable(pieces.withColumn("_edge", F.col("_exit").isNotNull()), "fold", "_edge").select(*names, "_edge")
+        return table.filter(~F.col("_edge")).drop("_edge"), table.filter("_edge").drop("_edge")
 
+    rows, edges = stored(folded(first))
     by_group = Window.partitionBy(*keys).orderBy("_bucket")
+    given = F.coalesce(F.lag("_exit").over(by_group), F.lit(json.dumps(start)))
+    piece_key, rounds = [*keys, "_bucket"], 0
     while True:
-        edges = done.filter(F.col("_exit").isNotNull()).select(
-            *keys,
-            "_bucket",
-            "_entry",
-            F.coalesce(F.lag("_exit").over(by_group), F.lit(json.dumps(start))).alias("_given"),
-        )
-        wrong = edges.filter(F.col("_entry") != F.col("_given")).select(*keys, "_bucket", "_given")
+        checked = edges.select(*piece_key, "_entry", given.alias("_given"))
+        wrong = checked.filter(F.col("_entry") != F.col("_given")).select(*piece_key, "_given")
         if wrong.isEmpty():
             break
-        again = cut.withColumn("_bucket", F.col("_home")).join(wrong, [*keys, "_bucket"])
-        kept = done.join(wrong.select(*keys, "_bucket"), [*keys, "_bucket"], "left_anti")
-        done = durable(kept.select(*names).unionByName(folded(again).select(*names)))
-    return done.filter(F.col("_exit").isNull()).select(*keys, order, *result_names)
+        again = cut.withColumn("_bucket", F.col("_home")).join(wrong, piece_key)
+        new_rows, new_edges = stored(folded(again))
+        redone = new_edges.select(*piece_key)
+        rows = rows.join(redone, piece_key, "left_anti").unionByName(new_rows)
+        edges = edges.join(redone, piece_key, "left_anti").unionByName(new_edges)
+        rounds += 1
+        if rounds % 5 == 0:
+            # keep the plan short when a long chain needs many rounds
+            rows, edges = durable(rows, "fold"), durable(edges, "fold")
+    return rows.select(*keys, order, *result_names)
 
 
 def _tuples(pdf: pd.DataFrame, columns: list[str], whole: set[str]) -> Iterable[tuple]:

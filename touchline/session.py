@@ -50,7 +50,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def durable(df: DataFrame, name: str = "table", partition_by: str | None = None) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back.
+
+    This cuts the lineage, survives lost executors, and unlike a checkpoint of rows lets
+    later reads skip columns and partitions and know the size.
+    """
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
+    writer = df.write.partitionBy(partition_by) if partition_by else df.write
+    writer.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
