@@ -26,7 +26,7 @@ def team_names(matches: DataFrame) -> DataFrame:
     return matches.select("match_id", *named)
 
 
-def minute_periods(rows: DataFrame, size: int = 64) -> DataFrame:
+def minute_periods(rows: DataFrame, size: int = 1024) -> DataFrame:
     """Minute rows with running seconds inside their half."""
     bucket = F.floor(F.col("minute") / F.lit(size)).cast("long")
     timed = rows.withColumn("actual_duration_sec", seconds())
@@ -113,7 +113,7 @@ def export_rows(minute_stats: DataFrame, matches: DataFrame) -> DataFrame:
     return named.withColumns({**rounded, "sort_half": F.coalesce("half", F.lit(1 << 30)).cast("long"), "sort_rank": rank.cast("long")})
 
 
-def with_position(rows: DataFrame, size: int = 64) -> DataFrame:
+def with_position(rows: DataFrame, size: int = 1024) -> DataFrame:
     """Place of every row inside the file of its match, from 1."""
     bucket = (F.col("sort_half") * 4 + F.col("sort_rank")) * F.lit(1 << 20) + F.floor(F.col("seq") / F.lit(size))
     placed = number_rows(rows, ["match_id"], bucket.cast("long"), ["sort_half", "sort_rank", "seq"], "position")

@@ -16,20 +16,22 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-FRAME_BUCKET = 4096
+# rows of one bucket; about eighteen minutes of play at 15 frames per second
+FRAME_BUCKET = 16384
 
 
 def frame_bucket(col: str = "frame_idx", size: int = FRAME_BUCKET) -> Column:
     return F.floor(F.col(col) / F.lit(size)).cast("long")
 
 
-def minute_bucket(size: int = 64) -> Column:
+def minute_bucket(size: int = 1024) -> Column:
     """Bucket for rows ordered by (half, minute)."""
     return F.col("half").cast("long") * F.lit(1 << 40) + F.floor(F.col("minute") / F.lit(size)).cast("long")
 
 
-def day_bucket(col: str = "ts") -> Column:
-    return F.unix_date(F.to_date(F.col(col))).cast("long")
+def time_bucket(col: str = "ts", seconds: int = 600) -> Column:
+    """Bucket for rows ordered by a time, short enough to split the days of a busy match."""
+    return F.floor(F.unix_timestamp(F.col(col).cast("timestamp")) / F.lit(seconds)).cast("long")
 
 
 @dataclass(frozen=True)

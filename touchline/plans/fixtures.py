@@ -303,7 +303,7 @@ class Fixtures:
             "value",
             "ts",
         )
-        return scans.number_rows(events, ["mno"], scans.day_bucket("ts"), ["ts", "event_id"], "frame_idx")
+        return scans.number_rows(events, ["mno"], scans.time_bucket("ts"), ["ts", "event_id"], "frame_idx")
 
     def _fx_frames(self) -> DataFrame:
         key = (self.spark.sparkContext.applicationId, self.dir)

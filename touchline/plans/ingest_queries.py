@@ -6,7 +6,7 @@ from touchline.operators import ingest
 from touchline.plans.registry import query
 from touchline.plans.scalar_queries import NORMAL
 from touchline.sources import logs, writers
-from touchline.operators.scans import day_bucket, minute_bucket
+from touchline.operators.scans import time_bucket, minute_bucket
 
 
 @query("a4_parse_messages", """WITH j AS (SELECT message_id, body, NOT json_valid(body) AS poison, CASE WHEN json_valid(body) THEN body ELSE '{}' END AS b FROM fx_messages),
@@ -190,4 +190,4 @@ def e10(fx):
 SELECT match_id, event_id, CAST(sum(CASE WHEN gap IS NULL OR gap > 1800 THEN 1 ELSE 0 END) OVER (PARTITION BY match_id ORDER BY ts) AS BIGINT) AS session FROM g""")
 def i9(fx):
     """Sessions end after 1800 idle seconds."""
-    return ingest.idle_sessions(fx.clips, day_bucket("ts")).select("match_id", "event_id", "session")
+    return ingest.idle_sessions(fx.clips, time_bucket("ts")).select("match_id", "event_id", "session")

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from touchline.functions import counters as cnt
+from touchline.operators.scans import FRAME_BUCKET
 from touchline.operators import ball, carrier, detections as det, passes as ps, rulesets as rs
 from touchline.plans import pass_queries as pq
 from touchline.plans.detection_queries import ZONE
@@ -39,7 +40,7 @@ final AS (SELECT r.match_id, r.half, r.minute,
 """
 
 
-def chain(fx, size=4096, warmup=256):
+def chain(fx, size=FRAME_BUCKET, warmup=256):
     """Raw minute rows of every match from detections."""
     at = ["match_id", "frame_idx"]
     frames = fx.frames.select("match_id", "frame_idx", "half", "minute")
