@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from touchline.functions import counters as cnt
-from touchline.operators.scans import last_before, minute_bucket, previous, running_sum, scan
+from touchline.operators.scans import minute_bucket, previous, running_sum, scan
 
 CLIP = ["match_id", "half", "minute"]
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.functions import colours as col, geometry as geo
-from touchline.operators.scans import FRAME_BUCKET, number_rows, previous, scan
+from touchline.operators.scans import number_rows, previous, scan
 
 # fixed values: channel, bins, upper end of the range
 HUE_SAT = [("hue", 64, 180), ("sat", 32, 256)]

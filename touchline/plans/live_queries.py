@@ -6,7 +6,6 @@ from touchline.functions import counters as cnt
 from touchline.operators.scans import FRAME_BUCKET
 from touchline.operators import ball, carrier, detections as det, passes as ps, rulesets as rs
 from touchline.plans import pass_queries as pq
-from touchline.plans.detection_queries import ZONE
 from touchline.plans.registry import query
 from touchline.sources import writers
 from touchline.session import durable

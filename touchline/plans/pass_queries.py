@@ -3,8 +3,8 @@
 from pyspark.sql import functions as F
 
 from touchline.functions import counters as cnt
-from touchline.operators import ball, carrier, detections as det, minutes as mn, passes as ps
-from touchline.plans.detection_queries import COMMIT, RULES, raw, ruled
+from touchline.operators import ball, carrier, detections as det, passes as ps
+from touchline.plans.detection_queries import COMMIT, RULES, ruled
 from touchline.plans.registry import query
 
 SETTINGS = {"release_sustain": 1, "reception_settle": 2, "travel_min_gap": 1, "travel_timeout_frames": 22}
