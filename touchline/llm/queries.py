@@ -103,3 +103,4 @@ WITH texts AS (
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(plain) AS text_sha256
 FROM texts JOIN groups USING (plain)
 """
+CHECKS["op1_secret_scan"] = secret_scan.report_sql()

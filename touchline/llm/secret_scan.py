@@ -14,7 +14,7 @@ HEX = r"[0-9a-f]{16,}"
 #: weak parts
 WEAK_ID = r"""((?i:user(?:name)?|login|account|client_?id|access_?key(?:_?id)?))["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,})"""
 WEAK_SECRET = r"""((?i:password|passwd|secret|token|api_?key|pwd|passphrase|credential))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=!@#%^&*-]{6,})"""
-ENDPOINT = r"""((?i:https?|ftp|postgres(?:ql)?|mysql|mongodb|redis|amqp))://([^\s"'<>]{4,})"""
+ENDPOINT = r"""((?i:https?|ftp|postgres(?:ql)?|mysql|mongodb|redis|amqp))://([^\x20\x09-\x0D"'<>]{4,})"""
 
 #: kind: pattern, group whose length counts, least length, role
 KINDS = {
@@ -168,3 +168,37 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", scope: i
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(cut.isNull(), F.col("n_chars")).otherwise(F.length(text).cast("long")))
     return out.select(*docs.columns)
+
+
+def report_sql(table: str = "documents", scope: int = SCOPE) -> str:
+    """DuckDB text with the result of ``secret_report`` at this scope; it finds partners by comparing parts."""
+    hits, quoted = [], {k: v[0].replace("'", "''") for k, v in KINDS.items()}
+    for place, (kind, (_, group, least, role)) in enumerate(KINDS.items()):
+        hits.append(
+            f"""SELECT doc_id, {place} AS place, '{kind}' AS kind, '{role}' AS role, stop - size AS start, stop FROM (
+              SELECT doc_id, length(m[n]) AS size, length(c[n]) AS counted,
+                sum(length(g[n]) + length(m[n])) OVER (PARTITION BY doc_id ORDER BY n)::BIGINT AS stop
+              FROM (SELECT doc_id, m, c, g, unnest(range(1, len(m) + 1)) AS n FROM (
+                SELECT doc_id, regexp_extract_all(t, '{quoted[kind]}', 0) AS m, regexp_extract_all(t, '{quoted[kind]}', {group}) AS c,
+                  string_split_regex(t, '{quoted[kind]}') AS g FROM texts))) WHERE counted >= {least}"""
+        )
+    beside = "EXISTS (SELECT 1 FROM parts q WHERE q.doc_id = p.doc_id AND q.role = '{}' AND abs(q.start - p.start) <= " + str(scope) + ")"
+    strong = ", ".join(f"'{k}'" for k in STRONG)
+    listed = "string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, place)"
+    return f"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM {table}),
+parts AS ({" UNION ALL ".join(hits)}),
+spans AS (
+  SELECT * FROM parts p WHERE kind IN ({strong})
+    OR (kind = 'weak_id' AND {beside.format("secret")})
+    OR (kind = 'weak_secret' AND {beside.format("id")})
+    OR (kind = 'endpoint' AND {beside.format("id")} AND {beside.format("secret")})
+), found AS (
+  SELECT doc_id, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in STRONG)},
+    coalesce({listed} FILTER (kind IN ({strong})), '') AS base, {listed} AS spans
+  FROM spans GROUP BY doc_id
+)
+SELECT d.doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in STRONG)},
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM texts d LEFT JOIN found f USING (doc_id)
+"""
