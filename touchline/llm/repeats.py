@@ -288,11 +288,8 @@ def repeated_marks(docs: DataFrame, least: int = LEAST) -> DataFrame:
         )
 
     once = bytes_of(False).repartition("context").sortWithinPartitions("context").mapInArrow(lambda b: _decide(b, least), _MARKS)
-    copies = (
-        spread_lookup(found, ["context", "digest"], classes.where("members > 1").select("context", "digest", "members"), ROW)
-        .where(F.col("members").isNotNull())
-        .select(ROW, "start", "starts")
-    )
+    # a class is unique on its side, so adaptive execution can split a class with very many members
+    copies = found.join(classes.where("members > 1").select("context", "digest"), ["context", "digest"]).select(ROW, "start", "starts")
     marks = once.unionByName(copies)
     if not shared.where(F.col("bytes") > MOST_BYTES).isEmpty():
         strings = bytes_of(True).mapInArrow(lambda b: _strings(b, least), f"{ROW} long, start long, d1 long, d2 long")
