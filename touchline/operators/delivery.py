@@ -41,17 +41,18 @@ def ledger(rows: DataFrame, answers: DataFrame) -> DataFrame:
     """Status and attempts of every pending row from the log of answers.
 
     A row is tried up to three times, stops at the first 2xx or at a 401, and never
-    holds up the rows behind it.
+    holds up the rows behind it. A row with fewer tries and no such answer stays pending.
     """
-    tries = rows.filter(F.col("status") == "pending").join(answers, CLIP)
+    tries = rows.filter(F.col("status") == "pending").join(answers, CLIP, "left")
     final = delivered(F.col("http_status")) | (F.col("http_status") == UNAUTHORISED)
     stop = F.min(F.when(final & (F.col("try_no") <= MAX_TRIES), F.struct("try_no", "http_status")))
-    done = tries.groupBy(*CLIP).agg(stop.alias("stop"), F.max("attempts").alias("had"))
+    made = F.count_distinct(F.when(F.col("try_no") <= MAX_TRIES, F.col("try_no")))
+    done = tries.groupBy(*CLIP).agg(stop.alias("stop"), F.max("attempts").alias("had"), made.alias("made"))
     sent = F.coalesce(delivered(F.col("stop.http_status")), F.lit(False))
     return done.select(
         *CLIP,
-        F.when(sent, "sent").otherwise("failed").alias("status"),
-        (F.col("had") + F.coalesce("stop.try_no", F.lit(MAX_TRIES))).cast("int").alias("attempts"),
+        F.when(sent, "sent").when(F.col("stop").isNotNull() | (F.col("made") >= MAX_TRIES), "failed").otherwise("pending").alias("status"),
+        (F.col("had") + F.coalesce("stop.try_no", "made")).cast("int").alias("attempts"),
     )
 
 

@@ -85,7 +85,7 @@ def allow_classes(df: DataFrame, names: list[str]) -> DataFrame:
     return df.filter(F.col("class_name").isin(names))
 
 
-def cap_duration(df: DataFrame, fps: Column, seconds: float = 480.0, frame: str = "frame_idx") -> DataFrame:
+def cap_duration(df: DataFrame, fps: Column, seconds: float, frame: str = "frame_idx") -> DataFrame:
     return df.filter(F.col(frame) < (fps * F.lit(seconds)).cast("long"))
 
 

@@ -197,14 +197,15 @@ def silhouette(rows: DataFrame, column: str = "embedding") -> DataFrame:
     """Mean Euclidean silhouette per match over a sample of at most 600 rows.
 
     ``rows``: match_id, cluster, vector, already sampled by ``evenly_spaced``; the sample
-    bounds the group. One cluster gives -1, fewer than ten rows an error.
+    bounds the group. One cluster gives -1. ``status`` is ``ok``, ``too_few`` for fewer than ten rows and ``not_sampled``
+    for more than the sample; the score of those is null and the other matches are not affected. A
+    row as far from its own cluster as from the next one, equal vectors included, counts as 0.
     """
 
     def score(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > SILHOUETTE_SAMPLE:
-            raise ValueError("sample the rows before scoring")
-        if len(pdf) < MIN_CROPS:
-            raise ValueError(f"only {len(pdf)} crops, not enough to fit")
+        if not MIN_CROPS <= len(pdf) <= SILHOUETTE_SAMPLE:
+            status = "too_few" if len(pdf) < MIN_CROPS else "not_sampled"
+            return pd.DataFrame({"match_id": [pdf["match_id"].iloc[0]], "n": [len(pdf)], "score": [None], "status": [status]})
         x, labels = np.stack(pdf[column].to_numpy()).astype(float), pdf["cluster"].to_numpy()
         names, sizes = np.unique(labels, return_counts=True)
         value = -1.0
@@ -219,11 +220,12 @@ def silhouette(rows: DataFrame, column: str = "embedding") -> DataFrame:
             means = sums / sizes
             means[at, own] = np.inf
             outer = means.min(axis=1)
-            s = np.where(sizes[own] > 1, (outer - inner) / np.maximum(outer, inner), 0.0)
+            widest = np.maximum(outer, inner)
+            s = np.where((sizes[own] > 1) & (widest > 0), (outer - inner) / np.where(widest > 0, widest, 1.0), 0.0)
             value = float(s.mean())
-        return pd.DataFrame({"match_id": [pdf["match_id"].iloc[0]], "n": [len(pdf)], "score": [value]})
+        return pd.DataFrame({"match_id": [pdf["match_id"].iloc[0]], "n": [len(pdf)], "score": [value], "status": ["ok"]})
 
-    return rows.select("match_id", "cluster", column).groupBy("match_id").applyInPandas(score, "match_id string, n bigint, score double")
+    return rows.select("match_id", "cluster", column).groupBy("match_id").applyInPandas(score, "match_id string, n bigint, score double, status string")
 
 
 def fit_decisions(fits: DataFrame, bucket: Column, order: list[str]) -> DataFrame:

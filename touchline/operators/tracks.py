@@ -39,10 +39,12 @@ def longest_gaps(found: DataFrame, n: int = 20) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
 
 
-def detection_probe(frames: DataFrame, detections: DataFrame, first_n: int) -> DataFrame:
-    """Fewest, most and mean detections over the first frames, empty ones included."""
-    counts = detections.filter(F.col("frame_idx") < first_n).groupBy(*FRAME).agg(F.count("*").alias("n"))
-    per = frames.filter(F.col("frame_idx") < first_n).select(*FRAME).join(counts, FRAME, "left").fillna(0, ["n"])
+def detection_probe(frames: DataFrame, detections: DataFrame, first_n: int | None = None) -> DataFrame:
+    """Fewest, most and mean detections over all or the first frames, empty ones included."""
+    if first_n is not None:
+        frames, detections = (df.filter(F.col("frame_idx") < first_n) for df in (frames, detections))
+    counts = detections.groupBy(*FRAME).agg(F.count("*").alias("n"))
+    per = frames.select(*FRAME).join(counts, FRAME, "left").fillna(0, ["n"])
     out = per.groupBy("match_id").agg(F.min("n").alias("fewest"), F.max("n").alias("most"), F.avg("n").alias("mean"))
     return out.withColumn("too_few", F.col("most") < FEW_PLAYERS)
 

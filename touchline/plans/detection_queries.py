@@ -115,10 +115,10 @@ def b7(fx):
 opens AS (SELECT *, lag(slot) OVER (PARTITION BY match_id ORDER BY frame_idx) AS before FROM slots)
 SELECT match_id, frame_idx, kept_idx FROM (SELECT match_id, frame_idx,
   CAST(row_number() OVER (PARTITION BY match_id ORDER BY frame_idx) - 1 AS BIGINT) AS kept_idx
-  FROM opens WHERE before IS NULL OR slot > before) x WHERE kept_idx < 400""")
+  FROM opens WHERE before IS NULL OR slot > before) x""")
 def b8(fx):
-    """Resampling to a lower rate with a frame cap (the operator's own parameter)."""
-    return det.resample_fps(fx.frames, 20.0 + F.col("mno"), 15.0, 400).select("match_id", "frame_idx", "kept_idx")
+    """Resampling of whole matches to a lower rate."""
+    return det.resample_fps(fx.frames, 20.0 + F.col("mno"), 15.0).select("match_id", "frame_idx", "kept_idx")
 
 
 @query("b9_crop_gate", "WITH " + RULES + """
@@ -140,7 +140,7 @@ def b10(fx):
 @query("b11_duration_cap", "SELECT match_id, frame_idx FROM fx_frames WHERE frame_idx < CAST(trunc((5e-1 + mno / 8e0) * 480) AS BIGINT)")
 def b11(fx):
     """Frames of the first 480 seconds (the operator's own parameter)."""
-    return det.cap_duration(fx.frames, 0.5 + F.col("mno") / 8.0).select("match_id", "frame_idx")
+    return det.cap_duration(fx.frames, 0.5 + F.col("mno") / 8.0, 480.0).select("match_id", "frame_idx")
 
 
 @query("b13_prefix_predicate", """SELECT match_id, half, minute, frames_team_a FROM fx_minute_stats WHERE half < 2 OR (half = 2 AND minute <= 7)""")

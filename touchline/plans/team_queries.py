@@ -111,7 +111,7 @@ def f10(fx):
 @query("d19_silhouette", """WITH d AS (SELECT a.match_id, a.vec_id, a.team_id AS own, b.team_id AS other, sqrt(list_sum(list_transform(list_zip(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), lambda p: (p[1] - p[2]) * (p[1] - p[2])))) AS d
  FROM fx_vectors a JOIN fx_vectors b ON b.match_id = a.match_id AND b.vec_id <> a.vec_id),
 m AS (SELECT match_id, vec_id, own, avg(d) FILTER (other = own) AS a, avg(d) FILTER (other <> own) AS b FROM d GROUP BY ALL)
-SELECT match_id, count(*) AS n, round(avg((b - a) / greatest(a, b)), 6) AS score FROM m GROUP BY match_id""")
+SELECT match_id, count(*) AS n, CASE WHEN count(*) >= 10 THEN round(avg(CASE WHEN greatest(a, b) > 0 THEN (b - a) / greatest(a, b) ELSE 0 END), 6) END AS score, CASE WHEN count(*) < 10 THEN 'too_few' ELSE 'ok' END AS status FROM m GROUP BY match_id""")
 def d19(fx):
     """How well two teams separate, per match."""
     rows = labelled(fx).select("match_id", "vec_id", "cluster", "embedding")

@@ -27,9 +27,18 @@ def f5(fx):
     return tk.longest_gaps(tk.gaps(seen(fx), 15.0, 6)).select("match_id", "track_id", "from_frame", "gap", "rank")
 
 
-@query("d16_detection_probe", """WITH c AS (SELECT match_id, frame_idx, count(*) AS n FROM fx_players WHERE confidence >= 9e-1 GROUP BY ALL)
+PROBE = """WITH c AS (SELECT match_id, frame_idx, count(*) AS n FROM fx_players WHERE confidence >= 9e-1 GROUP BY ALL)
 SELECT match_id, min(coalesce(n, 0)) AS fewest, max(coalesce(n, 0)) AS most, round(avg(coalesce(n, 0)), 9) AS mean, max(coalesce(n, 0)) < 6 AS too_few
-FROM fx_frames LEFT JOIN c USING (match_id, frame_idx) WHERE frame_idx < 60 GROUP BY match_id""")
+FROM fx_frames LEFT JOIN c USING (match_id, frame_idx) {} GROUP BY match_id"""
+
+
+@query("d16_detections_per_frame", PROBE.format(""))
+def d16_all(fx):
+    """Detections per frame over whole matches."""
+    return tk.detection_probe(fx.frames, fx.players.filter("confidence >= 0.9")).withColumn("mean", F.round("mean", 9))
+
+
+@query("d16_detection_probe", PROBE.format("WHERE frame_idx < 60"))
 def d16(fx):
     """Detections per frame over the first frames (the probe's own parameter)."""
     probe = tk.detection_probe(fx.frames, fx.players.filter("confidence >= 0.9"), 60)

@@ -36,12 +36,6 @@ RESULT = (
 RESULT_NAMES = [f.split()[0] for f in RESULT.replace(EVENTS, "list").split(", ")]
 
 
-def follows(progress: list | None, half: int, minute: int) -> bool:
-    if not progress:
-        return (half, minute) == (1, 1)
-    return (half, minute) in ((progress[0], progress[1] + 1), (progress[0] + 1, 1))
-
-
 class MatchSessions(StatefulProcessor):
     """Orders the clips of a match, runs them, and forgets an idle session."""
 
@@ -69,28 +63,34 @@ class MatchSessions(StatefulProcessor):
                     "frames": json.loads(r.frames),
                 }
                 self.waiting.updateValue(at, (json.dumps(clip), now))
-        yield self._advance(key, now)
+        self.handle.registerTimer(now + self.idle_ms)
+        yield self._advance(key, now, touched=True)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        """Only input moves the time a session is forgotten; a timer that is early for that leaves no new one."""
         now = timerValues.getCurrentProcessingTimeInMs()
         body = self._load()
-        if body and now - body["touched"] >= self.idle_ms and not any(True for _ in self.waiting.keys()):
-            kept = {k: body[k] for k in ("progress", "generation", "cumulative", "touched")}
-            self.session.update((json.dumps(new_session() | kept),))
-            yield pd.DataFrame(columns=RESULT_NAMES)
-        else:
+        if any(True for _ in self.waiting.keys()):
             yield self._advance(key, now)
+            return
+        if body and now - body["touched"] >= self.idle_ms:
+            kept = {k: body[k] for k in ("progress", "due", "generation", "cumulative", "touched")}
+            self.session.update((json.dumps(new_session() | kept),))
+        yield pd.DataFrame(columns=RESULT_NAMES)
 
     def _load(self) -> dict | None:
         return json.loads(self.session.get()[0]) if self.session.exists() else None
 
-    def _advance(self, key: Any, now: int) -> pd.DataFrame:
-        """Run every clip whose turn has come, and those that have waited long enough."""
-        body = self._load() or new_session() | {"progress": None}
+    def _advance(self, key: Any, now: int, touched: bool = False) -> pd.DataFrame:
+        """Run every clip whose turn has come, and those that have waited long enough.
+
+        The session lists the places that are due next, which every clip that runs sets anew.
+        """
+        body = self._load() or new_session() | {"progress": None, "due": [[1, 1]], "touched": now}
         queue = sorted((tuple(k), v[1]) for k, v in self.waiting.iterator())
         out = []
         while queue:
-            ready = [q for q in queue if follows(body["progress"], *q[0])]
+            ready = [q for q in queue if list(q[0]) in body["due"]]
             late = [q for q in queue if now - q[1] >= self.hold_ms]
             if not ready and not late:
                 break
@@ -100,17 +100,18 @@ class MatchSessions(StatefulProcessor):
             out.append(self._run(key, body, clip, gap=not ready))
             self.waiting.removeKey(turn[0])
             self.done.updateValue(turn[0], (now,))
-        body["touched"] = now
+        if touched:
+            body["touched"] = now
         self.session.update((json.dumps(body),))
         if queue:
-            self.handle.registerTimer(now + self.hold_ms)
-        self.handle.registerTimer(now + self.idle_ms)
+            self.handle.registerTimer(min(since for _, since in queue) + self.hold_ms)
         return pd.DataFrame(out, columns=RESULT_NAMES)
 
     def _run(self, key: Any, body: dict, clip: dict, gap: bool) -> list:
         before = body["progress"] or [None, None]
         result = run_clip(body, clip, self.rules)
         body["progress"] = [clip["half"], clip["minute"]]
+        body["due"] = [[clip["half"], clip["minute"] + 1], [clip["half"] + 1, 1]]
         fix = result["fix"] or dict.fromkeys(("half", "minute", "kind", "team_id", "frames"))
         payload = {wire_key(c): result["cumulative"][c] for c in COUNTERS}
         upto = before if result["reset"] else [None, None]
