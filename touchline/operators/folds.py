@@ -101,13 +101,15 @@ def fold(
     rows, edges = stored(folded(first))
     by_group = Window.partitionBy(*keys).orderBy("_bucket")
     given = F.coalesce(F.lag("_exit").over(by_group), F.lit(json.dumps(start)))
-    piece_key, rounds = [*keys, "_bucket"], 0
+    piece_key, rounds, source = [*keys, "_bucket"], 0, None
     while True:
         checked = edges.select(*piece_key, "_entry", given.alias("_given"))
         wrong = checked.filter(F.col("_entry") != F.col("_given")).select(*piece_key, "_given")
         if wrong.isEmpty():
             break
-        again = cut.withColumn("_bucket", F.col("_home")).join(wrong, piece_key)
+        # repairs read a written table, so what comes before the fold is computed twice at most
+        source = durable(cut, "cut") if source is None else source
+        again = source.withColumn("_bucket", F.col("_home")).join(wrong, piece_key)
         new_rows, new_edges = stored(folded(again))
         redone = new_edges.select(*piece_key)
         rows = rows.join(redone, piece_key, "left_anti").unionByName(new_rows)

@@ -214,7 +214,11 @@ def run_live(clips: DataFrame, rules: dict, path: str, checkpoint: str | None =
 
 
 def drop_replays(clips: DataFrame, late: str = "1 hour") -> DataFrame:
-    """First of each clip among those whose ``ts`` lies within ``late`` of each other."""
+    """First of each clip among those whose ``ts`` lies within ``late`` of each other.
+
+    Repeats further apart pass; ``late`` bounds the state. A caller who needs them gone compares with the
+    minutes already written.
+    """
     timed = clips.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     return timed.dropDuplicatesWithinWatermark(["match_id", "half", "minute"])
 
