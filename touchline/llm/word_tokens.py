@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 import regex
 from tokenizers import Tokenizer
@@ -11,7 +13,7 @@ from touchline.llm.common import kept
 #: fixed value: how the model cuts words
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: characters that normalisation only lowers
-_PLAIN = r"[!-~À-ÖØ-öø-ÿ]+"
+_PLAIN = r"[\n!-~À-ÖØ-öø-ÿ]*"
 _MOST_WORDS = 400_000
 
 
@@ -33,43 +35,53 @@ class WordCoder:
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.words = regex.compile(WORDS)
+        self.words = regex.compile(WORDS + r"|\n")
         self.plain = regex.compile(_PLAIN)
         self.signs = _byte_signs()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.chunks: dict[bytes, bytes] = {}
         self.known: dict[str, bytes] = {}
         for probe in ("The cat's 12 Ünïcode, (word)!! don't <a|b> x_y", "ÀÉ ß ñ"):
-            if b"".join(map(self._chunk, probe.encode().split())) != self._whole(probe):
+            if self.encode(probe.encode()) != self._whole(probe):
                 raise ValueError("the tokenizer cuts words in another way")
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _word(self, word: str) -> bytes:
-        found = self.known.get(word)
-        if found is None:
-            if len(self.known) > _MOST_WORDS:
-                self.known.clear()
-            signs = word.encode().decode("latin-1").translate(self.signs)
-            found = self.known[word] = np.array([t.id for t in self.model.tokenize(signs)], "<u4").tobytes()
-        return found
-
-    def _chunk(self, chunk: bytes) -> bytes:
-        text = chunk.decode()
-        if self.plain.fullmatch(text) and not any(s in text for s in self.special):
-            return b"".join(map(self._word, self.words.findall(text.lower())))
-        return self._whole(text)
+        signs = word.encode().decode("latin-1").translate(self.signs)
+        return array("I", [t.id for t in self.model.tokenize(signs)]).tobytes()
+
+    def _plain(self, text: str) -> bool:
+        return self.plain.fullmatch(text) is not None and not any(s in text for s in self.special)
+
+    def _learn(self, fresh: list[bytes]) -> None:
+        """Put the ids of these pieces into ``chunks``, all their words cut out in one pass."""
+        text = b"\n".join(fresh).decode()
+        if not self._plain(text):
+            for c in [c for c in fresh if not self._plain(c.decode())]:
+                self.chunks[c] = self._whole(c.decode())
+            fresh = [c for c in fresh if c not in self.chunks]
+            text = b"\n".join(fresh).decode()
+        words = self.words.findall(text.lower() + "\n")
+        if len(self.known) > _MOST_WORDS:
+            self.known.clear()
+        for w in set(words).difference(self.known, "\n"):
+            self.known[w] = self._word(w)
+        coded = list(map(self.known.get, words))
+        start = 0
+        for c, end in zip(fresh, [i for i, w in enumerate(words) if w == "\n"]):
+            self.chunks[c] = b"".join(coded[start:end])
+            start = end + 1
 
     def encode(self, text: bytes) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         chunks = text.split()
-        fresh = set(chunks).difference(self.chunks)
         if len(self.chunks) > _MOST_WORDS:
             self.chunks.clear()
-            fresh = set(chunks)
-        for c in fresh:
-            self.chunks[c] = self._chunk(c)
+        fresh = set(chunks).difference(self.chunks)
+        if fresh:
+            self._learn(list(fresh))
         return b"".join(map(self.chunks.__getitem__, chunks))
 
 
