@@ -25,7 +25,7 @@ def test_session_counts_and_payload():
     first = run_clip(body, clip(1, 1), RULES)
     assert (first["counts"]["frames_team_a"], first["counts"]["frames_oof"]) == (3, 2)
     second = run_clip(body, clip(1, 2, team_a_cluster_id=1), RULES)
-    assert second["counts"]["frames_team_b"] == 5 and second["cumulative"]["frames_team_a"] == 3
+    assert second["counts"]["frames_team_b"] == 5 and second["body"]["frames_team_a"] == 3
 
 
 def test_newer_generation_restarts_totals_only():
@@ -33,7 +33,7 @@ def test_newer_generation_restarts_totals_only():
     run_clip(body, clip(1, 1), RULES)
     held = body["held"]
     out = run_clip(body, clip(1, 2, wanted_generation=2), RULES)
-    assert out["reset"] and out["cumulative"]["frames_team_a"] == 5 and body["held"] == held
+    assert out["reset"] and out["body"]["frames_team_a"] == 5 and body["held"] == held
 
 
 def run(spark, clips, **timing):
@@ -97,3 +97,20 @@ def test_keypoint_log_array_file(spark):
 
 def test_counter_names():
     assert len(COUNTERS) == 10
+
+
+def test_late_clip_sums_minutes_up_to_its_own():
+    body = new_session()
+    for minute in (1, 3):
+        run_clip(body, clip(1, minute), RULES)
+    out = run_clip(body, clip(1, 2), RULES)["body"]
+    assert sum(v for c, v in out.items() if c.startswith("frames_")) == 10
+
+
+def test_reset_keeps_minutes_beyond_the_last_clip():
+    body = new_session()
+    for minute in (1, 4, 2):
+        run_clip(body, clip(1, minute), RULES)
+    out = run_clip(body, clip(1, 5, wanted_generation=2), RULES)["body"]
+    assert sum(v for c, v in out.items() if c.startswith("frames_")) == 10
+    assert [m["minute"] for m in body["minutes"]] == [4, 5]

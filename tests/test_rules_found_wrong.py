@@ -82,7 +82,7 @@ def test_idle_session_is_forgotten_once(monkeypatch):
     def run_clip(body, clip, rules):
         ran.append((clip["half"], clip["minute"]))
         body["ball"] = "busy"
-        return {"fix": None, "reset": False, "cumulative": counts, "counts": counts, "events": []}
+        return {"fix": None, "reset": False, "body": counts, "counts": counts, "events": []}
 
     monkeypatch.setattr(live, "run_clip", run_clip)
     sessions, store = live.MatchSessions({}, hold_s=30, idle_s=1800), Store()

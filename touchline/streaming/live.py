@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -23,6 +23,7 @@ from touchline.streaming.session_steps import new_session, run_clip
 
 HOLD_S = ingest.ORDERING_RETRIES * ingest.ORDERING_RETRY_S
 IDLE_S = 1800
+KEEP_S = 7 * 24 * 3600
 
 CLIP = "match_id string, half int, minute int, wanted_generation int, team_a_cluster_id int, frames string"
 EVENTS = (
@@ -37,16 +38,20 @@ RESULT_NAMES = [f.split()[0] for f in RESULT.replace(EVENTS, "list").split(", ")
 
 
 class MatchSessions(StatefulProcessor):
-    """Orders the clips of a match, runs them, and forgets an idle session."""
+    """Orders the clips of a match, runs them, and forgets an idle session.
 
-    def __init__(self, rules: dict, hold_s: float = HOLD_S, idle_s: float = IDLE_S):
-        self.rules, self.hold_ms, self.idle_ms = rules, int(hold_s * 1000), int(idle_s * 1000)
+    An idle session keeps its minutes and place. These and the list of clips that ran go ``keep_s`` after
+    they last changed; a clip that comes again later runs again, and ``minute_table`` reads its first result.
+    """
+
+    def __init__(self, rules: dict, hold_s: float = HOLD_S, idle_s: float = IDLE_S, keep_s: float = KEEP_S):
+        self.rules, self.hold_ms, self.idle_ms, self.keep_ms = rules, int(hold_s * 1000), int(idle_s * 1000), int(keep_s * 1000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.session = handle.getValueState("session", "body string")
+        self.session = handle.getValueState("session", "body string", self.keep_ms)
         self.waiting = handle.getMapState("waiting", "half int, minute int", "clip string, since bigint")
-        self.done = handle.getMapState("done", "half int, minute int", "at bigint")
+        self.done = handle.getMapState("done", "half int, minute int", "at bigint", self.keep_ms)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentProcessingTimeInMs()
@@ -74,7 +79,7 @@ class MatchSessions(StatefulProcessor):
             yield self._advance(key, now)
             return
         if body and now - body["touched"] >= self.idle_ms:
-            kept = {k: body[k] for k in ("progress", "due", "generation", "cumulative", "touched")}
+            kept = {k: body[k] for k in ("progress", "due", "generation", "minutes", "touched")}
             self.session.update((json.dumps(new_session() | kept),))
         yield pd.DataFrame(columns=RESULT_NAMES)
 
@@ -86,7 +91,7 @@ class MatchSessions(StatefulProcessor):
 
         The session lists the places that are due next, which every clip that runs sets anew.
         """
-        body = self._load() or new_session() | {"progress": None, "due": [[1, 1]], "touched": now}
+        body = self._load() or new_session() | {"due": [[1, 1]], "touched": now}
         queue = sorted((tuple(k), v[1]) for k, v in self.waiting.iterator())
         out = []
         while queue:
@@ -110,10 +115,9 @@ class MatchSessions(StatefulProcessor):
     def _run(self, key: Any, body: dict, clip: dict, gap: bool) -> list:
         before = body["progress"] or [None, None]
         result = run_clip(body, clip, self.rules)
-        body["progress"] = [clip["half"], clip["minute"]]
         body["due"] = [[clip["half"], clip["minute"] + 1], [clip["half"] + 1, 1]]
         fix = result["fix"] or dict.fromkeys(("half", "minute", "kind", "team_id", "frames"))
-        payload = {wire_key(c): result["cumulative"][c] for c in COUNTERS}
+        payload = {wire_key(c): result["body"][c] for c in COUNTERS}
         upto = before if result["reset"] else [None, None]
         return [
             key[0], clip["half"], clip["minute"], len(clip["frames"]), gap, result["reset"], *upto,
@@ -142,11 +146,11 @@ def clip_rows(frames: DataFrame, players: DataFrame, balls: DataFrame, extra: li
     return clips.withColumns({c: e for c, e in defaults.items() if c not in extra}).select(*[f.split()[0] for f in CLIP.split(", ")])
 
 
-def live_results(clips: DataFrame, rules: dict, hold_s: float = HOLD_S, idle_s: float = IDLE_S) -> DataFrame:
+def live_results(clips: DataFrame, rules: dict, hold_s: float = HOLD_S, idle_s: float = IDLE_S, keep_s: float = KEEP_S) -> DataFrame:
     """Result row of every clip, as its turn comes."""
     clips.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     return clips.groupBy("match_id").transformWithStateInPandas(
-        statefulProcessor=MatchSessions(rules, hold_s, idle_s), outputStructType=RESULT, outputMode="Append", timeMode="ProcessingTime"
+        statefulProcessor=MatchSessions(rules, hold_s, idle_s, keep_s), outputStructType=RESULT, outputMode="Append", timeMode="ProcessingTime"
     )
 
 
@@ -181,8 +185,12 @@ def written(spark: SparkSession, path: str, table: str) -> DataFrame:
 
 
 def minute_table(spark: SparkSession, path: str) -> DataFrame:
-    """Minute rows as they stand: corrected, and flagged where a reset supersedes them."""
-    clips = written(spark, path, "clips")
+    """Minute rows as they stand: corrected, and flagged where a reset supersedes them.
+
+    Of a clip that ran again after its session was gone, the first result counts.
+    """
+    first = F.row_number().over(Window.partitionBy(*mn.CLIP).orderBy("batch_id"))
+    clips = written(spark, path, "clips").withColumn("_nth", first).filter("_nth = 1")
     rows = clips.select(*mn.CLIP, *COUNTERS, F.lit(0).alias("revision"), F.lit(0).alias("superseded"))
     fixes = clips.filter("corr_kind IS NOT NULL").select(
         "match_id", F.col("corr_half").alias("half"), F.col("corr_minute").alias("minute"), F.col("corr_kind").alias("kind"),

@@ -21,7 +21,8 @@ def new_session() -> dict:
         "carry": 0,
         "last": None,
         "generation": 1,
-        "cumulative": dict.fromkeys(COUNTERS, 0),
+        "progress": None,
+        "minutes": [],
     }
 
 
@@ -60,6 +61,12 @@ def turned(counts: dict, cluster: int | None) -> dict:
     return {c: counts[swap[c]] for c in counts}
 
 
+def totals(minutes: list[dict], half: int, minute: int) -> dict:
+    """Counters of all ``minutes`` up to this one; a clip that is late leaves out those after it."""
+    before = [m["counts"] for m in minutes if (m["half"], m["minute"]) <= (half, minute)]
+    return {c: sum(m[c] for m in before) for c in COUNTERS}
+
+
 def run_clip(session: dict, clip: dict, rules: dict) -> dict:
     """Process the frames of ``clip`` and update ``session``; returns the clip's result.
 
@@ -69,11 +76,10 @@ def run_clip(session: dict, clip: dict, rules: dict) -> dict:
     last = session["last"]
     reset = clip.get("wanted_generation", 1) > session["generation"]
     if reset:
-        # everything about colours starts anew; ball, carrier and pass state stay
+        # colours start anew, and minutes up to the last clip no longer count; ball, carrier and pass state stay
         session["generation"] = clip["wanted_generation"]
-        session["cumulative"] = dict.fromkeys(COUNTERS, 0)
-        if last:
-            last["superseded"] = True
+        upto = tuple(session["progress"] or (0, 0))
+        session["minutes"] = [m for m in session["minutes"] if (m["half"], m["minute"]) > upto]
     n = rules["carrier_hysteresis_n"]
     settings = [rules[k] for k in ps.PASS_INPUTS[3:]]
     counts, events, fix = dict.fromkeys(COUNTERS, 0), [], None
@@ -106,19 +112,17 @@ def run_clip(session: dict, clip: dict, rules: dict) -> dict:
     if fix and last["cluster"] not in (None, 0) and fix["team_id"] in (0, 1):
         fix["team_id"] = 1 - fix["team_id"]
     if fix:
-        before = dict(last["counts"])
-        move_frames(last["counts"], fix["kind"], fix["team_id"], fix["frames"])
-        if not last.get("superseded"):
-            for c in COUNTERS:
-                session["cumulative"][c] += last["counts"][c] - before[c]
+        for m in session["minutes"]:
+            if (m["half"], m["minute"]) == (last["half"], last["minute"]):
+                move_frames(m["counts"], fix["kind"], fix["team_id"], fix["frames"])
     row = turned(counts, cluster)
     for e in events:
         for side in ("from_team", "to_team"):
             if cluster not in (None, 0) and e[side] in (0, 1):
                 e[side] = 1 - e[side]
-    for c in COUNTERS:
-        session["cumulative"][c] += row[c]
+    session["minutes"].append({"half": clip["half"], "minute": clip["minute"], "counts": row})
+    session["progress"] = [clip["half"], clip["minute"]]
     phase, travel = session["pass"][0], session["pass"][-1]
     session["carry"] = travel if phase in ps.MOVING else 0
-    session["last"] = {"half": clip["half"], "minute": clip["minute"], "cluster": cluster, "counts": dict(row)}
-    return {"counts": row, "events": events, "fix": fix, "reset": reset, "cumulative": dict(session["cumulative"])}
+    session["last"] = {"half": clip["half"], "minute": clip["minute"], "cluster": cluster}
+    return {"counts": dict(row), "events": events, "fix": fix, "reset": reset, "body": totals(session["minutes"], clip["half"], clip["minute"])}
