@@ -37,3 +37,12 @@ def test_pass_events_read_event_columns_only(spark):
 
 def test_every_check_belongs_to_a_query():
     assert set(CHECKS) <= set(QUERIES)
+
+
+@pytest.mark.parametrize("name, most", [("e9_metadata_evolution", 6), ("i9_idle_sessions", 4), ("d20_fit_decisions", 4)])
+def test_chained_scans_share_a_shuffle(spark, name, most):
+    df = QUERIES[name](spark, SF)
+    df.collect()
+    text = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    shuffles = re.findall(r"ShuffleQueryStage \d+", text)
+    assert len(set(shuffles)) - text.count("ReusedExchange") <= most, text

@@ -58,26 +58,27 @@ def commit_carrier(raw: DataFrame, n: int, size: int = FRAME_BUCKET) -> DataFram
     """Change state only after ``n`` frames in a row agree on (kind, track).
 
     Frames are dense. The look-back is short, so each bucket gets a copy of the last
-    ``n - 1`` frames of the bucket before it; only the held state crosses buckets.
+    ``n - 1`` frames of the bucket before it; only the held state crosses buckets. The look-back
+    and the scan share one shuffle by (match, bucket).
     """
     back = n - 1
     home = F.floor(F.col("frame_idx") / F.lit(size)).cast("long")
     shared = F.pmod(F.col("frame_idx"), F.lit(size)) >= F.lit(size - back)
     copies = F.explode(F.when(shared, F.array(home, home + 1)).otherwise(F.array(home)))
-    w = Window.partitionBy("match_id", "_piece").orderBy("frame_idx")
+    w = Window.partitionBy("match_id", "_bucket").orderBy("frame_idx")
     agrees = F.lit(True)
     for lag in range(1, n):
         agrees = agrees & F.lag("kind", lag).over(w).eqNullSafe(F.col("kind"))
         agrees = agrees & F.lag("track_id", lag).over(w).eqNullSafe(F.col("track_id"))
     state = F.struct("kind", "track_id", "team_id")
     marked = (
-        raw.withColumn("_piece", copies)
+        raw.withColumn("_bucket", copies)
+        .repartition("match_id", "_bucket")
         .withColumn("_stable", agrees)
-        .filter(F.col("_piece") == home)
+        .filter(F.col("_bucket") == home)
         .withColumn("_stable", F.when(F.col("_stable"), state))
-        .drop("_piece")
     )
-    held = scan(marked, ["match_id"], home, ["frame_idx"], {"_held": last_seen(F.col("_stable"))})
+    held = scan(marked, ["match_id"], None, ["frame_idx"], {"_held": last_seen(F.col("_stable"))})
     rest = [c for c in raw.columns if c not in ("kind", "track_id", "team_id")]
     return held.select(
         *rest,

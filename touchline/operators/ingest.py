@@ -141,21 +141,21 @@ def evolve_metadata(requests: DataFrame, size: int = FRAME_BUCKET) -> DataFrame:
     reset = F.col("request") == "reset"
     # a match exists from its first clip request on; resets before it are ignored
     bucket = frame_bucket("seq", size)
-    known = scan(requests, ["match_id"], bucket, ["seq"], {"_born": first_seen(F.when(~reset, F.col("seq")))})
-    live = known.filter(F.col("_born").isNotNull()).drop("_born")
+    born = requests.filter(~reset).groupBy("match_id").agg(F.min("seq").alias("_born"))
+    live = requests.join(born, "match_id").filter(F.col("seq") >= F.col("_born")).drop("_born")
     stored = {f"_old_{c}": last_before(F.col(c)) for c in COLOURS}
     now = {f"_now_{c}": last_seen(F.col(c)) for c in COLOURS}
     # names: a reset overwrites, a clip only fills an empty field
     given = {f"_set_{c}": last_seen(F.when(reset & F.col(c).isNotNull(), F.struct(F.col("seq"), F.col(c).alias("v")))) for c in NAMES}
     filled = {f"_first_{c}": first_seen(F.col(c)) for c in NAMES}
-    step = scan(live, ["match_id"], bucket, ["seq"], {**stored, **now, **given, **filled})
+    step = scan(live, ["match_id"], bucket, ["seq"], {**stored, **now, **given, **filled}, keep_bucket=True)
     changed = F.lit(False)
     for c in COLOURS:
         old, new = F.col(f"_old_{c}"), F.col(c)
         differs = ~normalise_colour(old).eqNullSafe(normalise_colour(new))
         changed = changed | (old.isNotNull() & new.isNotNull() & differs)
     step = step.withColumn("_bump", F.when(reset | changed, 1).otherwise(0))
-    step = scan(step, ["match_id"], bucket, ["seq"], {"_bumps": running_sum(F.col("_bump"))})
+    step = scan(step, ["match_id"], None, ["seq"], {"_bumps": running_sum(F.col("_bump"))})
     return step.select(
         "match_id",
         "seq",
@@ -232,6 +232,7 @@ def stage_timing(timings: DataFrame) -> DataFrame:
 def idle_sessions(clips: DataFrame, bucket: Column, idle_s: int = 1800) -> DataFrame:
     """Number the sessions of each match; a pause above ``idle_s`` ends one."""
     at = F.col("ts").cast("timestamp").cast("double")
-    gaps = scan(clips, ["match_id"], bucket, ["ts"], {"_last": previous(at)})
+    gaps = scan(clips, ["match_id"], bucket, ["ts"], {"_last": previous(at)}, keep_bucket=True)
     opens = F.when(F.col("_last").isNull() | (at - F.col("_last") > idle_s), 1).otherwise(0)
-    return scan(gaps.withColumn("_opens", opens), ["match_id"], bucket, ["ts"], {"session": running_sum(F.col("_opens"))}).drop("_last", "_opens")
+    opened = scan(gaps.withColumn("_opens", opens), ["match_id"], None, ["ts"], {"session": running_sum(F.col("_opens"))})
+    return opened.drop("_last", "_opens")

@@ -80,8 +80,14 @@ def following(col: Column) -> Scan:
     return Scan("following", col)
 
 
-def scan(df: DataFrame, keys: list[str], bucket: Column, order: list[str], out: dict[str, Scan]) -> DataFrame:
-    """Add one column per entry of ``out``."""
+def scan(
+    df: DataFrame, keys: list[str], bucket: Column | None, order: list[str], out: dict[str, Scan], keep_bucket: bool = False
+) -> DataFrame:
+    """Add one column per entry of ``out``.
+
+    With ``bucket`` None, ``df`` has a column ``_bucket`` and is dealt by (keys, ``_bucket``) already, as after a
+    window over them or a scan with ``keep_bucket``; no further shuffle of the large side follows.
+    """
     group = [*keys, "_bucket"]
     inner = Window.partitionBy(*group).orderBy(*order)
     upto = inner.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -93,10 +99,9 @@ def scan(df: DataFrame, keys: list[str], bucket: Column, order: list[str], out:
     ahead = Window.partitionBy(*keys).orderBy(F.col("_bucket").desc()).rowsBetween(Window.unboundedPreceding, -1)
     position = F.struct(*order)
 
-    held, local, digest, carry, final, drop = {}, {}, [], {}, {}, []
+    held, local, digest, carry, final = {}, {}, [], {}, {}
     for name, s in out.items():
         v, l, d, c = (f"_{p}_{name}" for p in ("v", "l", "d", "c"))
-        drop += [v, l, c]
         value = F.struct(s.col.alias("v")) if s.kind in ("previous", "following") else s.col
         held[v] = value
         at = F.when(F.col(v).isNotNull(), position)
@@ -138,15 +143,13 @@ def scan(df: DataFrame, keys: list[str], bucket: Column, order: list[str], out:
         joined = F.coalesce(near, far)
         final[name] = joined["v"] if s.kind in ("previous", "following") else joined
 
-    base = df.withColumn("_bucket", bucket).withColumns(held).repartition(*[F.col(c) for c in group])
+    if bucket is None:
+        base = df.withColumns(held)
+    else:
+        base = df.withColumn("_bucket", bucket).withColumns(held).repartition(*[F.col(c) for c in group])
     summary = base.groupBy(*group).agg(*digest).select(*group, *[e.alias(n) for n, e in carry.items()])
-    return (
-        base.withColumns(local)
-        .join(summary, group, "left")
-        .withColumns(final)
-        .drop("_bucket", *drop)
-        .select(*df.columns, *out)
-    )
+    rest = [c for c in df.columns if c != "_bucket"]
+    return base.withColumns(local).join(summary, group, "left").withColumns(final).select(*rest, *out, *(["_bucket"] if keep_bucket else []))
 
 
 def number_rows(df: DataFrame, keys: list[str], bucket: Column, order: list[str], name: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.functions import colours as col, geometry as geo
-from touchline.operators.scans import number_rows, previous, scan
+from touchline.operators.scans import number_rows, previous, running_sum, scan
 
 # fixed values: channel, bins, upper end of the range
 HUE_SAT = [("hue", 64, 180), ("sat", 32, 256)]
@@ -234,8 +234,8 @@ def fit_decisions(fits: DataFrame, bucket: Column, order: list[str]) -> DataFram
     A poor first fit is used but done again on the next clip with both samples; that
     second fit is committed whatever its score.
     """
-    placed = number_rows(fits, ["match_id"], bucket, order, "clip_no")
-    seen = scan(placed, ["match_id"], bucket, order, {"_first": previous(F.col("score"))})
+    counted = {"clip_no": running_sum(F.lit(1).cast("long")), "_first": previous(F.col("score"))}
+    seen = scan(fits, ["match_id"], bucket, order, counted).withColumn("clip_no", (F.col("clip_no") - F.lit(1)).cast("long"))
     good = F.col("score") >= SILHOUETTE_MIN
     poor_before = F.coalesce(F.col("_first") < SILHOUETTE_MIN, F.lit(False))
     decision = (

@@ -7,6 +7,7 @@ from touchline.plans import (  # noqa: F401
     live_queries,
     minute_queries,
     pass_queries,
+    piece_queries,
     pitch_queries,
     scalar_queries,
     team_queries,

@@ -164,8 +164,12 @@ keep AS (SELECT match_id, track_id, frame_idx, rn, area <= 3e4 AS ok, CASE WHEN
  FROM keep k JOIN areas a ON a.match_id = k.match_id AND a.track_id = k.track_id AND a.rn = k.rn + 1)"""
 
 
+def widened(fx):
+    wide = (F.col("x2") - F.col("x1")) * (1 + (F.col("x1") + F.col("y1")) % 5) * (1 + F.col("x1") % 3)
+    return fx.players.withColumn("x2", F.col("x1") + wide)
+
+
 @query("i14_area_plausibility", "WITH " + AREAS + " SELECT match_id, track_id, frame_idx, ok AS accepted FROM keep")
 def i14(fx):
     """Boxes of a plausible size."""
-    wide = (F.col("x2") - F.col("x1")) * (1 + (F.col("x1") + F.col("y1")) % 5) * (1 + F.col("x1") % 3)
-    return ball.plausible_boxes(fx.players.withColumn("x2", F.col("x1") + wide), F.lit(150000.0))
+    return ball.plausible_boxes(widened(fx), F.lit(150000.0))

@@ -12,8 +12,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
 
 
-def query(name: str, check: str | None = None):
-    """Register ``fn(fixtures) -> DataFrame`` under ``name``."""
+def query(name: str, check: str | None = None, like: str | None = None):
+    """Register ``fn(fixtures) -> DataFrame`` under ``name``; the SQL of the query ``like`` checks it too."""
 
     def register(fn: Callable[[Fixtures], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +23,8 @@ def query(name: str, check: str | None = None):
         QUERIES[name] = run
         if check:
             CHECKS[name] = check_sql(check)
+        elif like:
+            CHECKS[name] = CHECKS[like]
         return fn
 
     return register
