@@ -39,10 +39,10 @@ def test_every_check_belongs_to_a_query():
     assert set(CHECKS) <= set(QUERIES)
 
 
-@pytest.mark.parametrize("name, most", [("e9_metadata_evolution", 6), ("i9_idle_sessions", 4), ("d20_fit_decisions", 4)])
+# shuffles of the executed plan, those of the derived input included; dealt anew for each scan they were 18, 8 and 10
+@pytest.mark.parametrize("name, most", [("e9_metadata_evolution", 11), ("i9_idle_sessions", 6), ("d20_fit_decisions", 5)])
 def test_chained_scans_share_a_shuffle(spark, name, most):
     df = QUERIES[name](spark, SF)
     df.collect()
     text = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
-    shuffles = re.findall(r"ShuffleQueryStage \d+", text)
-    assert len(set(shuffles)) - text.count("ReusedExchange") <= most, text
+    assert sum("Exchange hashpartitioning" in line and "ReusedExchange" not in line for line in text.splitlines()) <= most

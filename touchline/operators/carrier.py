@@ -54,22 +54,24 @@ def raw_carrier(frames: DataFrame, players: DataFrame, balls: DataFrame, ratio,
     )
 
 
-def commit_carrier(raw: DataFrame, n: int, size: int = FRAME_BUCKET) -> DataFrame:
+def commit_carrier(raw: DataFrame, n: int | Column, size: int = FRAME_BUCKET, most: int | None = None) -> DataFrame:
     """Change state only after ``n`` frames in a row agree on (kind, track).
 
+    ``n`` may be a column that is constant per match; ``most`` is then its upper bound.
+
     Frames are dense. The look-back is short, so each bucket gets a copy of the last
     ``n - 1`` frames of the bucket before it; only the held state crosses buckets. The look-back
     and the scan share one shuffle by (match, bucket).
     """
-    back = n - 1
+    back = (n if most is None else most) - 1
     home = F.floor(F.col("frame_idx") / F.lit(size)).cast("long")
     shared = F.pmod(F.col("frame_idx"), F.lit(size)) >= F.lit(size - back)
     copies = F.explode(F.when(shared, F.array(home, home + 1)).otherwise(F.array(home)))
     w = Window.partitionBy("match_id", "_bucket").orderBy("frame_idx")
     agrees = F.lit(True)
-    for lag in range(1, n):
-        agrees = agrees & F.lag("kind", lag).over(w).eqNullSafe(F.col("kind"))
-        agrees = agrees & F.lag("track_id", lag).over(w).eqNullSafe(F.col("track_id"))
+    for lag in range(1, back + 1):
+        same = F.lag("kind", lag).over(w).eqNullSafe(F.col("kind")) & F.lag("track_id", lag).over(w).eqNullSafe(F.col("track_id"))
+        agrees = agrees & (same | (F.lit(lag) >= n))
     state = F.struct("kind", "track_id", "team_id")
     marked = (
         raw.withColumn("_bucket", copies)

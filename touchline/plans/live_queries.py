@@ -39,17 +39,29 @@ final AS (SELECT r.match_id, r.half, r.minute,
 """
 
 
-def chain(fx, size=FRAME_BUCKET, warmup=256):
-    """Raw minute rows of every match from detections."""
+ZONE = ["foot_zone_ratio", "foot_zone_min_px", "foot_zone_max_px"]
+NEEDED = ["kalman_coast_frames", "kalman_gate_sigma", "carrier_hysteresis_n", *ZONE, *ps.PASS_INPUTS[3:]]
+
+
+def chain(fx, size=FRAME_BUCKET, warmup=256, own_rules=False):
+    """Raw minute rows of every match from detections, by one ruleset or by that of each match."""
     at = ["match_id", "frame_idx"]
     frames = fx.frames.select("match_id", "frame_idx", "half", "minute")
-    seen = frames.select(*at).join(det.best_ball(fx.balls), at, "left")
-    seen = seen.withColumns({"coast": F.lit(RULES["kalman_coast_frames"]), "sigma": F.lit(RULES["kalman_gate_sigma"])})
+    rules = rs.with_ruleset(fx.matches.select("match_id", "ruleset"), *NEEDED).select("match_id", *NEEDED)
+
+    def ruled(df, *names):
+        if own_rules:
+            return df.join(rules.select("match_id", *names), "match_id")
+        return df.withColumns({c: F.lit(RULES[c]) for c in names})
+
+    seen = ruled(frames.select(*at).join(det.best_ball(fx.balls), at, "left"), *NEEDED[:2])
+    seen = seen.withColumnsRenamed({"kalman_coast_frames": "coast", "kalman_gate_sigma": "sigma"})
     smooth = ball.smooth_ball(seen, size, warmup).filter("ball_state <> 'lost'")
     spot = smooth.select(*at, F.col("bx").alias("cx"), F.col("by").alias("cy"))
-    raw = carrier.raw_carrier(frames, fx.players, spot, RULES["foot_zone_ratio"], RULES["foot_zone_min_px"], RULES["foot_zone_max_px"])
-    held = carrier.commit_carrier(raw, RULES["carrier_hysteresis_n"], size)
-    steps = ps.run_passes(held.withColumns({k: F.lit(RULES[k]) for k in ps.PASS_INPUTS[3:]}), size, warmup)
+    raw = carrier.raw_carrier(frames, ruled(fx.players, *ZONE), spot, *[F.col(c) for c in ZONE])
+    most = max(rs.get_ruleset(name)["carrier_hysteresis_n"] for name in rs.RULESETS)
+    held = carrier.commit_carrier(ruled(raw, "carrier_hysteresis_n"), F.col("carrier_hysteresis_n"), size, most)
+    steps = ps.run_passes(ruled(held.drop("carrier_hysteresis_n"), *ps.PASS_INPUTS[3:]), size, warmup)
     return ps.minute_rows(steps.join(frames, at))
 
 
@@ -64,6 +76,24 @@ def i17_batch(fx):
     return corrected(chain(fx))
 
 
+OWN = MINUTES
+for _old, _new in (
+    (SMOOTH, pq.KALMAN.rstrip()),
+    ("greatest(20, least(140, 45e-2 * greatest(1, p.y2 - p.y1)))", "greatest(r.zone_min, least(r.zone_max, r.zone_ratio * greatest(1, p.y2 - p.y1)))"),
+    ("ON p.match_id = b.match_id AND p.frame_idx = b.frame_idx),\ninside", "ON p.match_id = b.match_id AND p.frame_idx = b.frame_idx JOIN fx_matches m ON m.match_id = b.match_id JOIN fx_rules r ON r.ruleset = m.ruleset),\ninside"),
+    ("f - ra > 22", "f - ra > patience"),
+    ("c.half, c.minute\n    FROM fsm s", "c.half, c.minute, o.timeout AS patience\n    FROM fsm s"),
+    ("JOIN committed c ON c.match_id = s.match_id AND c.frame_idx = s.f + 1)", "JOIN committed c ON c.match_id = s.match_id AND c.frame_idx = s.f + 1 JOIN fx_matches x ON x.match_id = s.match_id JOIN fx_rules o ON o.ruleset = x.ruleset)"),
+):
+    OWN = OWN.replace(_old, _new)
+
+
+@query("i17_minutes_own_rules", "WITH " + OWN + "SELECT * FROM final")
+def i17_own_rules(fx):
+    """I17 with the ruleset of each match, classic and futsal together."""
+    return corrected(chain(fx, own_rules=True))
+
+
 def stream(fx, files=3, per_batch=2, replay=False, extra=()):
     """Clips written in scrambled order within their half, run through the live query; its output folder.
 
