@@ -314,6 +314,21 @@ def test_bin_completion_against_all_packings():
     assert close >= 57
 
 
+def test_bin_completion_finds_what_only_one_filling_allows():
+    """Beside 2100 only 1100 + 500 + 396 is exact."""
+    counts = np.bincount([2100, 1590, 1490, 1100, 600, 500, 416, 396], minlength=4097)
+    assert sum(t for t, _ in packing.complete(counts)) == packing.least_bins(counts) == 2
+
+
+def test_bin_completion_is_the_least():
+    rng = np.random.default_rng(9)
+    for _ in range(150):
+        sizes = sorted(rng.integers(3, 15, rng.integers(4, 10)).tolist(), reverse=True)
+        layouts = packing.complete(np.bincount(sizes, minlength=21))
+        assert sorted(s for t, layout in layouts for s in layout * t) == sorted(sizes)
+        assert sum(t for t, _ in layouts) == fewest(sizes, 20)
+
+
 def test_token_files(spark, odd, empty):
     path = vocabulary("word_bpe_49k.json")
     for docs in (odd, spark.read.parquet(f"{SF}/documents.parquet")):

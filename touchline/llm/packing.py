@@ -16,8 +16,8 @@ from touchline.session import durable
 
 CAPACITY = 4096
 END = 1
-#: branches tried after the first descent
-BRANCHES = 40
+#: steps of the search, a sequence filled or a part of a filling tried, after which the best packing so far counts
+STEPS = 100_000
 
 #: a sequence layout: how often it is used, and its lengths
 Layout = tuple[int, tuple[int, ...]]
@@ -60,14 +60,15 @@ def least_bins(counts: np.ndarray) -> int:
     capacity = len(counts) - 1
     sizes = np.arange(capacity + 1)
     number, total = np.cumsum(counts[::-1])[::-1], np.cumsum((counts * sizes)[::-1])[::-1]
-    best = -(-int(total[0]) // capacity)
     half = capacity // 2
-    over_half = int(number[half + 1])
-    for k in range(1, half + 1):
-        big = int(number[capacity - k + 1])
-        room = (over_half - big) * capacity - int(total[half + 1] - total[capacity - k + 1])
-        rest = int(total[k] - total[half + 1]) - room
-        best = max(best, over_half + max(0, -(-rest // capacity)))
+    best = -(-int(total[0]) // capacity)
+    over_half = int(number[half + 1]) if half < capacity else 0
+    k = np.arange(1, half + 1)
+    if len(k):
+        big = number[capacity - k + 1]
+        room = (over_half - big) * capacity - (total[half + 1] - total[capacity - k + 1])
+        rest = total[k] - total[half + 1] - room
+        best = max(best, over_half + max(0, int((-(-rest // capacity)).max())))
     return best
 
 
@@ -102,91 +103,167 @@ def best_fit(counts: np.ndarray) -> list[Layout]:
     return [(times, layout) for group in by_room for times, layout in group]
 
 
-def _fillings(counts: np.ndarray, gap: int, most: int = 8) -> list[tuple[int, ...]]:
-    """Undominated ways to fill a gap, least waste first.
-
-    Each begins with another length and goes on with the largest that fits. One whose total is no larger
-    than a single piece that fits is dominated by that piece, and so is one whose pieces are all no larger than
-    another's with the same first piece; only the largest follower is built.
+def _copies(sums: int, size: int, times: int) -> int:
+    """Bit set of the sums with up to ``times`` pieces of a length added."""
+    step = 1
+    while times:
+        part = min(step, times)
+        sums |= sums << (size * part)
+        times -= part
+        step *= 2
+    return sums
+
+
+class _Reach:
+    """Which totals the lengths up to half a sequence can have; row i is by the i smallest lengths."""
+
+    def __init__(self, counts: np.ndarray):
+        capacity = len(counts) - 1
+        self.sizes = np.flatnonzero(counts[: capacity // 2 + 1])
+        self.by = np.zeros((len(self.sizes) + 1, capacity + 1), bool)
+        self.by[0, 0] = True
+        for i, size in enumerate(self.sizes.tolist()):
+            row = self.by[i + 1]
+            row[:] = self.by[i]
+            times, step = min(int(counts[size]), capacity // size), 1
+            while times:
+                part = min(step, times) * size
+                row[part:] |= row[:-part].copy()
+                times -= min(step, times)
+                step *= 2
+
+
+def _fillings(left: np.ndarray, gap: int, reach: _Reach, budget: list[int]) -> Iterator[tuple[int, ...]]:
+    """All undominated ways to fill a gap, least waste first, then larger parts first.
+
+    A filling is dominated if pieces of it can give way to one other piece that is no smaller than
+    their sum and fits in their place. ``reach`` may be of more pieces than are left. Ends early only when
+    ``budget`` is used up.
     """
-    capacity = len(counts) - 1
-    sizes = np.where(counts > 0, np.arange(capacity + 1), 0)
-    largest = np.maximum.accumulate(sizes)
-    first = np.flatnonzero(counts[: gap + 1] > 0)[::-1]
-    first = first[first > 0]
-    if not len(first):
-        return [()]
-    room = gap - first
-    parts = [first]
-    while True:
-        nxt = largest[room]
-        if not nxt.any():
+    fits = np.flatnonzero(left[: gap + 1])
+    fits = fits[fits > 0]
+    if not len(fits):
+        yield ()
+        return
+    single = int(fits[-1])
+    free = sum(1 << n for n in fits.tolist())
+    top = int(np.searchsorted(reach.sizes, gap, side="right"))
+
+    def parts(rest: int, upto: int, waste: int, sums: int, others: int) -> Iterator[tuple[int, ...]]:
+        if not rest:
+            yield ()
+            return
+        near = np.arange(min(upto, int(np.searchsorted(reach.sizes, rest, side="right"))))
+        sizes = reach.sizes[near]
+        near = near[reach.by[near + 1, rest - sizes] & (left[sizes] > 0)]
+        for i in near[::-1].tolist():
+            size = int(reach.sizes[i])
+            apart = others & ~(1 << size)
+            could, step, more = apart, 1, waste
+            while more:
+                could |= could >> min(step, more)
+                more -= min(step, more)
+                step *= 2
+            for times in range(min(int(left[size]), rest // size), 0, -1):
+                budget[0] -= 1
+                if budget[0] < 0:
+                    return
+                if not reach.by[i, rest - times * size]:
+                    continue
+                more = _copies(sums, size, times)
+                if more & ~1 & could:
+                    continue
+                for tail in parts(rest - times * size, i, waste, more, apart):
+                    yield (size,) * times + tail
+
+    for total in np.flatnonzero(reach.by[top, : gap + 1])[::-1].tolist():
+        if total <= single:
             break
-        parts.append(nxt)
-        room = room - nxt
-    single = int(first[0])
-    useful = (gap - room > single) | (np.arange(len(first)) == 0)
-    out = []
-    for i in np.lexsort((-first, room)):
-        if useful[i]:
-            filling = tuple(int(p[i]) for p in parts if p[i])
-            need = np.bincount(filling, minlength=capacity + 1)
-            short = np.flatnonzero(need > counts)
-            if len(short):
-                # a length that runs out is taken as often as there is
-                spare, got, rest = counts.copy(), [], gap
-                for size in filling:
-                    if spare[size] and size <= rest:
-                        spare[size] -= 1
-                        rest -= size
-                        got.append(size)
-                filling = tuple(got)
-            out.append(filling)
-            if len(out) >= most:
-                break
-    return out
-
-
-def complete(counts: np.ndarray, branches: int = BRANCHES) -> list[Layout]:
+        yield from parts(total, top, gap - total, 1, free)
+        if budget[0] < 0:
+            return
+    yield (single,)
+
+
+def _options(left: np.ndarray, top: int, reach: _Reach, budget: list[int]) -> Iterator[tuple[int, tuple[int, ...]]]:
+    """Fillings beside the largest piece and how often each is used: as often as can be, half as often, ..., once."""
+    capacity = len(left) - 1
+    left = left.copy()
+    left[top] -= 1
+    for filling in _fillings(left, capacity - top, reach, budget):
+        layout = (top, *filling)
+        left[top] += 1
+        held, need = np.unique(layout, return_counts=True)
+        times = int((left[held] // need).min())
+        left[top] -= 1
+        while times:
+            yield times, layout
+            times //= 2
+
+
+def complete(counts: np.ndarray, steps: int = STEPS) -> list[Layout]:
     """Bin completion: fill up the sequence of the largest piece, again and again, and back up where it wastes.
 
-    A filling is used as often as its lengths allow at once. The best solution so far starts as best-fit
-    decreasing; a branch ends as soon as its sequences and the least number for the rest are no fewer.
-    ``branches`` bounds the descents after the first; none is needed once the lower bound is met.
+    The best solution so far starts as best-fit decreasing; a branch ends as soon as its sequences and
+    the least number for the rest are no fewer. Passes allow ever more departures from the first option of each sequence,
+    until the lower bound is met, the tree is exhausted (the packing is then the least there is) or
+    ``steps`` are used up.
     """
-    capacity = len(counts) - 1
     best = best_fit(counts)
     fewest, least = sum(t for t, _ in best), least_bins(counts)
-    waiting: list[tuple[np.ndarray, list[Layout], int, tuple[int, ...] | None]] = [(counts.astype(np.int64), [], 0, None)]
-    descents = 0
-    while waiting and fewest > least and descents <= branches:
-        left, used, bins, filling = waiting.pop(0)
-        left, used = left.copy(), list(used)
-        descents += 1
-        depth = 0
-        while True:
-            if filling is None:
-                top = int(np.flatnonzero(left)[-1]) if left.any() else 0
-                if not top:
+    left, budget, allowed, cut = counts.astype(np.int64), [steps], 0, True
+    root = _Reach(left) if fewest > least else None
+
+    while cut and fewest > least and budget[0] >= 0:
+        cut, bins, used = False, 0, []
+        # options, next option's number, departures before, reach, lengths when it was made, what the option has taken
+        stack: list[list] = []
+        reach, held = root, np.count_nonzero(left)
+        spent, down = 0, True
+        while budget[0] >= 0 and fewest > least:
+            if down:
+                budget[0] -= 1
+                pieces = np.flatnonzero(left)
+                if not len(pieces):
                     if bins < fewest:
-                        best, fewest = used, bins
-                    break
-                if depth % 16 == 0 and bins + least_bins(left) >= fewest:
-                    break
-                left[top] -= 1
-                options = _fillings(left, capacity - top)
-                left[top] += 1
-                if depth < 24 and len(waiting) < branches:
-                    waiting += [(left.copy(), list(used), bins, (top, *o)) for o in options[1:3]]
-                filling = (top, *options[0])
-            need = np.bincount(filling, minlength=capacity + 1)
-            held = np.flatnonzero(need)
-            times = int((left[held] // need[held]).min())
-            left[held] -= need[held] * times
-            used.append((times, filling))
+                        best, fewest = list(used), bins
+                    down = False
+                elif bins + least_bins(left) >= fewest:
+                    down = False
+                else:
+                    if len(pieces) < 0.9 * held:
+                        reach, held = _Reach(left), len(pieces)
+                    stack.append([_options(left, int(pieces[-1]), reach, budget), 0, spent, reach, held, None])
+            if not stack:
+                break
+            frame = stack[-1]
+            options, number, spent, reach, held, taken = frame
+            if taken:
+                sizes, need, times = taken
+                left[sizes] += need * times
+                bins -= times
+                used.pop()
+                frame[5] = None
+            if spent + number > allowed:
+                cut, option = True, None
+            else:
+                option = next(options, None)
+            if option is None:
+                stack.pop()
+                down = False
+                continue
+            times, layout = option
+            sizes, need = np.unique(layout, return_counts=True)
+            left[sizes] -= need * times
             bins += times
-            filling = None
-            depth += 1
+            used.append((times, layout))
+            frame[1], frame[5] = number + 1, (sizes, need, times)
+            spent, down = spent + number, True
+        for frame in stack:
+            if frame[5]:
+                sizes, need, times = frame[5]
+                left[sizes] += need * times
+        allowed = 2 * allowed or 1
     return best
 
 
@@ -205,7 +282,7 @@ def places(layouts: list[Layout]) -> dict[str, np.ndarray]:
     return dict(zip(("length", "number", "sequence", "per", "offset"), table.T))
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, branches: int = BRANCHES) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, steps: int = STEPS) -> DataFrame:
     """``pieces`` with ``sequence_id`` and ``offset``; sequences hold at most ``capacity`` tokens.
 
     ``pieces`` needs ROW, piece (their pair unique) and length (1 to ``capacity``) and is read twice, so
@@ -217,7 +294,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, branches: int = BRANCHES)
     counts = np.zeros(capacity + 1, np.int64)
     for r in counted:
         counts[r["length"]] = r["n"]
-    plan = places(complete(counts, branches))
+    plan = places(complete(counts, steps))
     buckets = int(min(1 << 16, max(32, counts.sum() // 50_000)))
     key = F.pmod(F.xxhash64(ROW, "piece"), F.lit(buckets)).cast("int")
     bucketed = pieces.withColumn("_bucket", key)
