@@ -50,3 +50,25 @@ def test_traversal_visits_every_leaf_once():
     tree = neighbours.grow(np.random.default_rng(1).normal(size=(500, 8)))
     order = tree.visits(np.ones(8), tree.leaves)
     assert sorted(order) == list(range(tree.leaves)) and tree.visits(np.ones(8), 3) == order[:3]
+
+
+def test_queries_of_a_leaf_are_cut(spark, monkeypatch):
+    """All vectors are equal and in one leaf; no group may hold all of its queries."""
+    whole = neighbours.best_of
+
+    def bounded(ids, x, query_ids, q, nearest):
+        if len(q) > 60:
+            raise ValueError(f"{len(q)} queries in one group")
+        return whole(ids, x, query_ids, q, nearest)
+
+    monkeypatch.setattr(neighbours, "best_of", bounded)
+    monkeypatch.setattr(neighbours, "CALIBRATION", 10)
+    monkeypatch.setattr(neighbours, "QUERIES", 20, raising=False)
+    monkeypatch.setattr(neighbours, "BLOCK", 100)
+    df = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(400)], "vec_id long, embedding array<double>")
+    got = results(neighbours.search(df, every=2, nearest=3))
+    assert got == {q: [(i, 5.0) for i in [i for i in range(4) if i != q][:3]] for q in range(0, 400, 2)}
+
+
+def test_depth_grows_with_the_table():
+    assert [neighbours.levels_for(n) for n in (0, 128_000, 128_001, 20_000_000)] == [2, 2, 3, 5]

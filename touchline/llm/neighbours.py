@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from touchline.session import durable
 
-#: vectors that the tree is fitted on, children of a node and levels of nodes
+#: vectors that the tree is fitted on, children of a node and least levels of nodes
 SAMPLE = 8000
 BRANCH = 8
 LEVELS = 2
@@ -22,6 +22,8 @@ CALIBRATION = 128
 RECALL = 0.97
 #: vectors of one leaf that are searched at once; larger leaves are cut into blocks
 BLOCK = 2000
+#: queries that meet such a block at once
+QUERIES = 2000
 NEAREST = 20
 
 
@@ -116,6 +118,14 @@ def grow(x: np.ndarray, branch: int = BRANCH, levels: int = LEVELS, seed: int =
     return Tree(build(x, 0), leaves[0])
 
 
+def levels_for(vectors: int) -> int:
+    """Levels with which an average leaf is one block; the sample bounds how far nodes are split."""
+    levels = LEVELS
+    while BRANCH**levels * BLOCK < vectors and BRANCH**levels < SAMPLE:
+        levels += 1
+    return levels
+
+
 def usable(vector: Column) -> Column:
     """Whether a vector is not null, has finite components only, and is not zero."""
     fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -209,7 +219,7 @@ def search(table: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding
         return spark.createDataFrame([], result)
     rows = rows.where(F.size("embedding") == sizes["size"])
     drawn = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
-    tree = grow(np.array([r["embedding"] for r in drawn]))
+    tree = grow(np.array([r["embedding"] for r in drawn]), levels=levels_for(sizes["n"]))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -231,22 +241,25 @@ def search(table: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 64):
-                part = batch.slice(lo, 64)
-                who, leaf, block = [], [], []
-                for i, query in enumerate(_matrix(part.column("embedding"))):
-                    for n in tree.visits(query, visits):
-                        for b in range(blocks.get(n, 0)):
-                            who.append(i), leaf.append(n), block.append(b)
-                who = pa.array(who, pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("vec_id").take(who), part.column("embedding").take(who), pa.array(leaf, pa.int32()), pa.array(block, pa.int32())],
-                    names=["vec_id", "embedding", "leaf", "block"],
-                )
-
-    asked = queries.select("vec_id", "embedding").mapInArrow(ask, "vec_id long, embedding array<double>, leaf int, block int")
-    number = F.create_map(*[x for n, b in blocks.items() for x in (F.lit(n), F.lit(b))])
-    held = indexed.withColumn("block", F.pmod(F.xxhash64("vec_id"), number[F.col("leaf")]).cast("int"))
+            leaves = [[n for n in tree.visits(query, visits) if n in blocks] for query in _matrix(batch.column("embedding"))]
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("embedding"), pa.array(leaves, pa.list_(pa.int32()))], names=["vec_id", "embedding", "leaves"])
+
+    asked = queries.select("vec_id", "embedding").mapInArrow(ask, "vec_id long, embedding array<double>, leaves array<int>")
+    asked = durable(asked, "asked").withColumn("leaf", F.explode("leaves")).drop("leaves")
+    # the queries of a leaf are cut too; each of their parts meets each block once
+    parts = {r["leaf"]: -(-r["n"] // QUERIES) for r in asked.groupBy("leaf").agg(F.count("*").alias("n")).collect()}
+    if not parts:
+        return spark.createDataFrame([], result)
+
+    def number(of: dict[int, int]) -> Column:
+        return F.create_map(*[x for n, b in of.items() for x in (F.lit(n), F.lit(b))])[F.col("leaf")]
+
+    def dealt(rows: DataFrame, own: str, into: dict[int, int], other: str, among: dict[int, int]) -> DataFrame:
+        rows = rows.withColumn(own, F.pmod(F.xxhash64("vec_id"), number(into)).cast("int"))
+        return rows.withColumn(other, F.explode(F.sequence(F.lit(0), number(among) - 1)))
+
+    asked = dealt(asked, "part", parts, "block", blocks)
+    held = dealt(indexed.where(number(parts).isNotNull()), "block", blocks, "part", parts)
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         if not len(left) or not len(right):
@@ -257,9 +270,9 @@ def search(table: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding
         return pa.table({"query_id": query_ids[at], "vec_id": found, "score": scores})
 
     hits = (
-        asked.select("leaf", "block", "vec_id", "embedding")
-        .groupBy("leaf", "block")
-        .cogroup(held.select("leaf", "block", "vec_id", "embedding").groupBy("leaf", "block"))
+        asked.select("leaf", "block", "part", "vec_id", "embedding")
+        .groupBy("leaf", "block", "part")
+        .cogroup(held.select("leaf", "block", "part", "vec_id", "embedding").groupBy("leaf", "block", "part"))
         .applyInArrow(meet, "query_id long, vec_id long, score double")
     )
     return _cut(hits, nearest).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
