@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 from collections.abc import Callable
 
@@ -11,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from touchline.session import durable
+
 ROW = "_row"
 
 
@@ -26,13 +29,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _stored(df: DataFrame) -> bool:
+    """Whether ``df`` is rows of parquet files, each at most once."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().apply(0)
+    return plan.nodeName() == "LogicalRelation" and all(f.endswith(".parquet") for f in df.inputFiles())
+
+
 def numbered(df: DataFrame, name: str = ROW) -> DataFrame:
-    """``df`` with a number per row.
+    """``df`` with a number per row that every scan gives alike.
 
-    Numbers follow the file splits, so two scans of the same files give a row the same number;
-    a frame without such an order has to be written first.
+    A row of a parquet file has the number of its file, in order of their paths, and its place in the file,
+    whatever splits or cores a scan has. Any other frame is written first and read from there. File numbers reach
+    the rows by a broadcast of the paths, or by a plain join if the paths hold over 64 MB.
     """
-    return df.withColumn(name, F.monotonically_increasing_id())
+    if not _stored(df):
+        return numbered(durable(df, "rows"), name)
+    bare = r"^[A-Za-z0-9+.-]+:/*"
+    paths = sorted({re.sub(bare, "", f) for f in df.inputFiles()})
+    files = df.sparkSession.createDataFrame(list(enumerate(paths)), "_numbered_of long, _numbered_file string")
+    if sum(map(len, paths)) < 64 << 20:
+        files = F.broadcast(files)
+    meta = df.metadataColumn("_metadata")
+    placed = df.withColumns({"_numbered_file": F.regexp_replace(meta.getField("file_path"), bare, ""), "_numbered_at": meta.getField("row_index")})
+    number = F.when(F.col("_numbered_of").isNull(), F.raise_error(F.lit("a file that was not listed"))).otherwise(F.shiftleft("_numbered_of", 38) + F.col("_numbered_at"))
+    return placed.join(files, "_numbered_file", "left").withColumn(name, number).select(*(c for c in df.columns if c != name), name)
 
 
 def spread_lookup(rows: DataFrame, key: list[str], values: DataFrame, row: str, salts: int = 64) -> DataFrame:

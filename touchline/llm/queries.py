@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm import exact_dedup, language, neighbours, packing, pieces, quality, repeats, secret_scan, simhash, token_files
+from touchline.llm import exact_dedup, language, neighbours, packing, pieces, quality, repeats, resampling, secret_scan, simhash, token_files, turns
 from touchline.llm.common import table
 
 #: where the vocabularies of the public tokenizers are
@@ -94,6 +94,18 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(table(spark, sf_dir, "embeddings"))
 
 
+@_query
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight, noisy score and rank of every document, drawn towards the benchmark's texts."""
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@_query
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every conversation."""
+    return turns.repaired(table(spark, sf_dir, "conversations"))
+
+
 CHECKS["op2_exact_dedup"] = r"""
 WITH texts AS (
   SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS plain FROM documents
