@@ -69,6 +69,19 @@ def spread_lookup(rows: DataFrame, key: list[str], values: DataFrame, row: str,
     return salted.join(served, [*key, "_salt"], "left").drop("_salt")
 
 
+def skew_join(rows: DataFrame, key: list[str], values: DataFrame, counts: DataFrame, count: str, row: str, salts: int = 64) -> DataFrame:
+    """Inner join of ``values`` (unique by ``key``) to ``rows`` in one shuffle, keys of very many rows dealt over ``salts``.
+
+    ``counts`` has the number of rows of each key that may be frequent. At most 4,096 keys can hold more than that share
+    of all counted rows, so those are broadcast. ``row`` is any column that differs between rows.
+    """
+    share = (counts.agg(F.sum(count)).first()[0] or 0) / 4096
+    hot = F.broadcast(counts.where(F.col(count) > max(share, 64)).select(*key, F.lit(True).alias("_hot")))
+    dealt = rows.join(hot, key, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(row), F.lit(salts)).cast("int")).otherwise(0))
+    served = values.join(hot, key, "left").withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
+    return dealt.drop("_hot").join(served.drop("_hot"), [*key, "_salt"]).drop("_salt")
+
+
 def flat_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All texts of a column as one array of UTF-8 bytes and the n + 1 offsets in it; null is empty."""
     texts = pc.fill_null(column, "").cast(pa.large_binary())

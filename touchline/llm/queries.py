@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm import exact_dedup, language, neighbours, packing, pieces, quality, repeats, resampling, secret_scan, simhash, token_files, turns
+from touchline.llm import exact_dedup, language, neighbours, packing, passages, pieces, quality, repeats, resampling, secret_scan, simhash, token_files, turns
 from touchline.llm.common import table
 
 #: where the vocabularies of the public tokenizers are
@@ -106,6 +106,13 @@ def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.repaired(table(spark, sf_dir, "conversations"))
 
 
+@_query
+def op13_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without windows of 20 words that also start earlier, and the words left."""
+    found = passages.remove_passages(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 CHECKS["op2_exact_dedup"] = r"""
 WITH texts AS (
   SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS plain FROM documents
@@ -115,4 +122,22 @@ WITH texts AS (
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(plain) AS text_sha256
 FROM texts JOIN groups USING (plain)
 """
+CHECKS["op13_passages"] = r"""
+WITH texts AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM documents
+), windows AS (
+  SELECT doc_id, at, array_to_string(words[at : at + 19], ' ') AS shown
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 18)) AS at FROM texts WHERE len(words) >= 20)
+), again AS (
+  SELECT doc_id, at FROM windows QUALIFY row_number() OVER (PARTITION BY shown ORDER BY doc_id, at) > 1
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(at, at + 20)) AS place FROM again
+), lost AS (
+  SELECT doc_id, list(place) AS places FROM gone GROUP BY doc_id
+)
+SELECT doc_id, len(words) AS n_words, coalesce(len(places), 0) AS n_removed,
+  sha256(array_to_string(CASE WHEN places IS NULL THEN words ELSE
+    list_transform(list_filter(range(1, len(words) + 1), lambda i: NOT list_contains(places, i)), lambda i: words[i]) END, ' ')) AS kept_sha256
+FROM texts LEFT JOIN lost USING (doc_id)
+"""
 CHECKS["op1_secret_scan"] = secret_scan.report_sql()
