@@ -126,12 +126,12 @@ CHECKS["op13_passages"] = r"""
 WITH texts AS (
   SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM documents
 ), windows AS (
-  SELECT doc_id, at, array_to_string(words[at : at + 19], ' ') AS shown
-  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 18)) AS at FROM texts WHERE len(words) >= 20)
+  SELECT doc_id, pos, array_to_string(words[pos : pos + 19], ' ') AS shown
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 18)) AS pos FROM texts WHERE len(words) >= 20)
 ), again AS (
-  SELECT doc_id, at FROM windows QUALIFY row_number() OVER (PARTITION BY shown ORDER BY doc_id, at) > 1
+  SELECT doc_id, pos FROM windows QUALIFY row_number() OVER (PARTITION BY shown ORDER BY doc_id, pos) > 1
 ), gone AS (
-  SELECT DISTINCT doc_id, unnest(range(at, at + 20)) AS place FROM again
+  SELECT DISTINCT doc_id, unnest(range(pos, pos + 20)) AS place FROM again
 ), lost AS (
   SELECT doc_id, list(place) AS places FROM gone GROUP BY doc_id
 )
