@@ -367,3 +367,15 @@ def test_languages_of_odd_rows(odd, empty):
         assert (r["lang_pred"] == "und") == (re.search(r"[^\W\d_]", source["text"] or "") is None) and 0 <= r["score"] <= 1
     kept = language.drop_unknown(odd)
     assert kept.columns == odd.columns and kept.count() == sum(r["lang_pred"] != "und" for r in got)
+
+
+def test_search_memory_does_not_grow_with_pieces():
+    """The search over many pieces holds its tables and the branch at hand, not options of every sequence."""
+    import tracemalloc
+
+    counts = np.bincount(np.clip(np.random.default_rng(1).lognormal(6, 1, 300_000).astype(int), 1, 4096), minlength=4097)
+    tracemalloc.start()
+    packing.complete(counts, steps=20_000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200e6

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,8 @@ CAPACITY = 4096
 END = 1
 #: steps of the search, a sequence filled or a part of a filling tried, after which the best packing so far counts
 STEPS = 100_000
+#: sequences of the branch at hand, from its end, whose remaining options stay in memory
+OPEN = 64
 
 #: a sequence layout: how often it is used, and its lengths
 Layout = tuple[int, tuple[int, ...]]
@@ -186,16 +189,20 @@ def _fillings(left: np.ndarray, gap: int, reach: _Reach, budget: list[int]) -> I
 
 
 def _options(left: np.ndarray, top: int, reach: _Reach, budget: list[int]) -> Iterator[tuple[int, tuple[int, ...]]]:
-    """Fillings beside the largest piece and how often each is used: as often as can be, half as often, ..., once."""
-    capacity = len(left) - 1
-    left = left.copy()
-    left[top] -= 1
-    for filling in _fillings(left, capacity - top, reach, budget):
-        layout = (top, *filling)
+    """Fillings beside the largest piece and how often each is used: as often as can be, half as often, ..., once.
+
+    ``left`` is the search's own: it may change while the generator waits, but has to be as at first whenever it goes on.
+    """
+    fillings = _fillings(left, len(left) - 1 - top, reach, budget)
+    while True:
+        left[top] -= 1
+        filling = next(fillings, None)
         left[top] += 1
+        if filling is None:
+            return
+        layout = (top, *filling)
         held, need = np.unique(layout, return_counts=True)
         times = int((left[held] // need).min())
-        left[top] -= 1
         while times:
             yield times, layout
             times //= 2
@@ -216,7 +223,7 @@ def complete(counts: np.ndarray, steps: int = STEPS) -> list[Layout]:
 
     while cut and fewest > least and budget[0] >= 0:
         cut, bins, used = False, 0, []
-        # options, next option's number, departures before, reach, lengths when it was made, what the option has taken
+        # largest piece, options, next option's number, departures before, reach, lengths when it was made, what the option has taken
         stack: list[list] = []
         reach, held = root, np.count_nonzero(left)
         spent, down = 0, True
@@ -231,22 +238,27 @@ def complete(counts: np.ndarray, steps: int = STEPS) -> list[Layout]:
                 elif bins + least_bins(left) >= fewest:
                     down = False
                 else:
-                    if len(pieces) < 0.9 * held:
+                    if len(pieces) < 0.8 * held:
                         reach, held = _Reach(left), len(pieces)
-                    stack.append([_options(left, int(pieces[-1]), reach, budget), 0, spent, reach, held, None])
+                    stack.append([int(pieces[-1]), None, 0, spent, reach, held, None])
+                    if len(stack) > OPEN:
+                        # enumerated anew should the search come back so far
+                        stack[-OPEN - 1][1] = None
             if not stack:
                 break
             frame = stack[-1]
-            options, number, spent, reach, held, taken = frame
+            top, options, number, spent, reach, held, taken = frame
             if taken:
                 sizes, need, times = taken
                 left[sizes] += need * times
                 bins -= times
                 used.pop()
-                frame[5] = None
+                frame[6] = None
             if spent + number > allowed:
                 cut, option = True, None
             else:
+                if options is None:
+                    frame[1] = options = islice(_options(left, top, reach, budget), number, None)
                 option = next(options, None)
             if option is None:
                 stack.pop()
@@ -257,11 +269,11 @@ def complete(counts: np.ndarray, steps: int = STEPS) -> list[Layout]:
             left[sizes] -= need * times
             bins += times
             used.append((times, layout))
-            frame[1], frame[5] = number + 1, (sizes, need, times)
+            frame[2], frame[6] = number + 1, (sizes, need, times)
             spent, down = spent + number, True
         for frame in stack:
-            if frame[5]:
-                sizes, need, times = frame[5]
+            if frame[6]:
+                sizes, need, times = frame[6]
                 left[sizes] += need * times
         allowed = 2 * allowed or 1
     return best
