@@ -33,8 +33,9 @@ def plain_words(raw: bytes) -> bytes:
     return b" ".join(raw.split())
 
 
-def anchored(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Segments of consecutive windows: first window, number of windows, hash of the run of ``gram`` words they share.
+def anchored(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Segments of consecutive windows: first window, number of windows, hash of the run of ``gram`` words they share,
+    and first and last byte of each.
 
     ``data`` is words with one space between them, ``offsets`` the first word of every document and the number of
     words. The anchor of a window is the run with the smallest hash in it, the first of equal ones, so equal windows
@@ -45,7 +46,7 @@ def anchored(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW, gram:
     starts, ends = np.r_[0, spaces + 1], np.r_[spaces, len(data)]
     n = len(starts)
     if n < window or not len(data):
-        return empty, empty, np.zeros(0, np.uint64)
+        return empty, empty, np.zeros(0, np.uint64), np.zeros((2, 0), np.int64)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE[data] * _powers(_BASE, len(data)), out=sums[1:])
     first, last = starts[: n - gram + 1], ends[gram - 1 :]
@@ -67,11 +68,11 @@ def anchored(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW, gram:
     begins[offsets[:-1][usable]] = True
     heads = np.flatnonzero(begins)
     stops = np.flatnonzero(inside & np.r_[begins[1:] | ~inside[1:], True]) + 1
-    return heads, stops - heads, grams[anchor[heads]]
+    return heads, stops - heads, grams[anchor[heads]], np.array([starts[heads], ends[stops + window - 2]])
 
 
 def segments(rows: DataFrame, window: int = WINDOW) -> DataFrame:
-    """ROW, anchor, first window and number of windows of every segment of every text."""
+    """ROW, anchor, digest of all words, first window and number of windows of every segment of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -94,21 +95,24 @@ def segments(rows: DataFrame, window: int = WINDOW) -> DataFrame:
 
     def found(held: list[bytes], of: list[tuple[int, int]], offsets: list[int]) -> pa.RecordBatch:
         bounds, where = np.array(offsets), np.array(of)
-        heads, counts, grams = anchored(np.frombuffer(b" ".join(held), np.uint8), bounds, window)
+        data = b" ".join(held)
+        heads, counts, grams, (first, last) = anchored(np.frombuffer(data, np.uint8), bounds, window)
         text = np.searchsorted(bounds, heads, side="right") - 1
-        columns = [where[text, 0], grams.view(np.int64), (heads - bounds[text] + where[text, 1]).astype(np.int32), counts.astype(np.int32)]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[ROW, "anchor", "at", "n"])
+        digests = np.fromiter((xxhash.xxh3_64_intdigest(data[a:b]) for a, b in zip(first.tolist(), last.tolist())), np.uint64, len(heads))
+        columns = [where[text, 0], grams.view(np.int64), digests.view(np.int64), (heads - bounds[text] + where[text, 1]).astype(np.int32), counts.astype(np.int32)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[ROW, "anchor", "digest", "at", "n"])
 
-    return rows.select(ROW, "text").mapInArrow(run, f"{ROW} long, anchor long, at int, n int")
+    return rows.select(ROW, "text").mapInArrow(run, f"{ROW} long, anchor long, digest long, at int, n int")
 
 
 def suspects(rows: DataFrame, window: int = WINDOW) -> DataFrame:
     """ROW, doc_id, n_words and digest of every text; where some anchor occurs more than once, also the words and those segments."""
     parts = segments(rows, window)
-    counts = durable(parts.groupBy("anchor").agg(F.count("*").alias("often")).where("often > 1"), "anchors")
-    again = skew_join(parts, ["anchor"], counts.select("anchor"), counts, "often", "at")
-    wanted = again.groupBy(ROW).agg(F.collect_list(F.struct("at", "n")).alias("parts"))
-    schema = f"{ROW} long, doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_words long, kept_sha256 string, words binary, parts array<struct<at:int,n:int>>"
+    counts = parts.groupBy("anchor").agg(F.count("*").alias("often"), (F.min("digest") == F.max("digest")).alias("alike")).where("often > 1")
+    counts = durable(counts, "anchors")
+    again = skew_join(parts.drop("digest"), ["anchor"], counts.select("anchor", "alike"), counts, "often", "at")
+    wanted = again.groupBy(ROW).agg(F.collect_list(F.struct("at", "n", "alike")).alias("parts"))
+    schema = f"{ROW} long, doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_words long, kept_sha256 string, words binary, parts array<struct<at:int,n:int,alike:boolean>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,7 +130,10 @@ def suspects(rows: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def _window_rows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """128-bit digest of each window of the segments, with the words before and after it (0: none)."""
+    """128-bit digest of each window of the segments, with the words before and after it (0: none).
+
+    Where all segments of an anchor are alike, its windows always occur together and are one row.
+    """
     digest, word = xxhash.xxh3_128_digest, xxhash.xxh3_64_intdigest
     for batch in batches:
         for i, (row, text, parts) in enumerate(zip(batch.column(ROW).to_pylist(), batch.column("words").to_pylist(), batch.column("parts").to_pylist())):
@@ -135,12 +142,15 @@ def _window_rows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.
             hashes[1:-1] = np.fromiter(map(word, words), np.uint64, len(words)) | np.uint64(1)
             ends = np.cumsum([len(w) + 1 for w in words]) - 1
             starts = np.r_[0, ends[:-1] + 1]
-            at = ranges(np.array([p["at"] for p in parts]), np.array([p["n"] for p in parts]))
-            sums = b"".join([digest(text[s:e]) for s, e in zip(starts[at].tolist(), ends[at + window - 1].tolist())])
+            first, n, alike = (np.array([p[k] for p in parts]) for k in ("at", "n", "alike"))
+            n, times = np.where(alike, n, 1), np.where(alike, 1, n)
+            at, n = ranges(first, times), np.repeat(n, times)
+            last = at + n + window - 2
+            sums = b"".join([digest(text[s:e]) for s, e in zip(starts[at].tolist(), ends[last].tolist())])
             sums = np.frombuffer(sums, "<i8").reshape(-1, 2)
             doc_id = batch.column("doc_id").take(pa.array(np.full(len(at), i)))
-            columns = [sums[:, 0].copy(), sums[:, 1].copy(), np.full(len(at), row), doc_id, at.astype(np.int32), hashes[at].view(np.int64), hashes[at + window + 1].view(np.int64)]
-            yield pa.RecordBatch.from_arrays([c if c is doc_id else pa.array(c) for c in columns], names=["d1", "d2", ROW, "doc_id", "at", "before", "after"])
+            columns = [sums[:, 0].copy(), sums[:, 1].copy(), np.full(len(at), row), doc_id, at.astype(np.int32), n.astype(np.int32), hashes[at].view(np.int64), hashes[last + 2].view(np.int64)]
+            yield pa.RecordBatch.from_arrays([c if c is doc_id else pa.array(c) for c in columns], names=["d1", "d2", ROW, "doc_id", "at", "n", "before", "after"])
 
 
 def _chains(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
@@ -155,11 +165,11 @@ def _chains(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Recor
             words, chain = text.split(), []
 
             def cut() -> None:
-                head, n = chain[0], len(chain) + window - 1
+                head, n = chain[0], chain[-1]["at"] + chain[-1]["n"] - chain[0]["at"] + window - 1
                 out.append((row, head["at"], n, b" ".join(words[head["at"] : head["at"] + n]), head["d1"], head["d2"]))
 
             for w in sorted(firsts, key=lambda w: w["at"]):
-                if chain and not (w["at"] == chain[-1]["at"] + 1 and chain[-1]["one_after"] and w["one_before"]):
+                if chain and not (w["at"] == chain[-1]["at"] + chain[-1]["n"] and chain[-1]["one_after"] and w["one_before"]):
                     cut()
                     chain.clear()
                 chain.append(w)
@@ -213,13 +223,13 @@ def later_places(docs: DataFrame, window: int = WINDOW, shard_words: int = SHARD
     """
     some, key = docs.where("words is not null"), ["d1", "d2"]
     kind = docs.schema["doc_id"].dataType.simpleString()
-    windows = some.select(ROW, "doc_id", "words", "parts").mapInArrow(lambda b: _window_rows(b, window), f"d1 long, d2 long, {ROW} long, doc_id {kind}, at int, before long, after long")
+    windows = some.select(ROW, "doc_id", "words", "parts").mapInArrow(lambda b: _window_rows(b, window), f"d1 long, d2 long, {ROW} long, doc_id {kind}, at int, n int, before long, after long")
     windows = durable(windows, "windows")
     first = F.struct(F.col("doc_id").isNull().alias("missing"), F.col("doc_id").alias("id"), F.col(ROW).alias("row"), "at")
     one = [((F.min(c) == F.max(c)) & (F.min(c) != 0)).alias(f"one_{c}") for c in ("before", "after")]
-    groups = windows.groupBy(*key).agg(F.count("*").alias("often"), F.min(first).alias("first"), *one).where("often > 1")
-    groups = durable(groups.select(*key, "often", F.col("first.row").alias(ROW), F.col("first.at").alias("at"), "one_before", "one_after"), "recurring")
-    firsts = groups.groupBy(ROW).agg(F.collect_list(F.struct("at", *key, "one_before", "one_after")).alias("firsts"))
+    groups = windows.groupBy(*key).agg(F.count("*").alias("often"), F.min(first).alias("first"), F.first("n").alias("n"), *one).where("often > 1")
+    groups = durable(groups.select(*key, "often", F.col("first.row").alias(ROW), F.col("first.at").alias("at"), "n", "one_before", "one_after"), "recurring")
+    firsts = groups.groupBy(ROW).agg(F.collect_list(F.struct("at", "n", *key, "one_before", "one_after")).alias("firsts"))
     passages = some.select(ROW, "words").join(firsts, ROW).mapInArrow(lambda b: _chains(b, window), f"{ROW} long, at int, n int, words binary, d1 long, d2 long")
     passages = durable(passages, "passages")
     shards = max(1, (passages.agg(F.sum("n")).first()[0] or 0) // shard_words)
