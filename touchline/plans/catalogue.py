@@ -9,6 +9,7 @@ from touchline.plans import (  # noqa: F401
     pass_queries,
     piece_queries,
     pitch_queries,
+    reid_queries,
     scalar_queries,
     team_queries,
     track_queries,
