@@ -3,6 +3,7 @@
 from touchline.plans import (  # noqa: F401
     detection_queries,
     export_queries,
+    fit_queries,
     ingest_queries,
     live_queries,
     minute_queries,
