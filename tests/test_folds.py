@@ -71,6 +71,23 @@ def test_blocks(spark, size):
     assert got == want
 
 
+def test_blocks_of_a_long_half_take_few_rounds(spark, monkeypatch):
+    """64 buckets that never agree on a state: the tables written grow with the logarithm of the blocks."""
+    rnd, written = random.Random(5), []
+    real = export.durable
+    monkeypatch.setattr(export, "durable", lambda df, *a: written.append(1) or real(df, *a))
+    lengths = [rnd.choice([0.0, 20.25, 60.0, 61.5, 300.0]) for _ in range(640)]
+    rows = spark.createDataFrame([("m", 1, i + 1, s) for i, s in enumerate(lengths)], "match_id string, half int, minute int, clip_duration_seconds double")
+    got = {r.minute: (r.block, r.block_start) for r in export.assign_blocks(rows, size=10).collect()}
+    filled, block, start = 0.0, 1, 0.0
+    for i, s in enumerate(lengths):
+        assert got[i + 1] == (block, start)
+        filled += s
+        if filled >= 280:
+            filled, block, start = 0.0, block + 1, start + filled
+    assert len(written) <= 10
+
+
 @pytest.mark.parametrize("size", [4096, 5])
 def test_hysteresis_over_buckets(spark, size):
     rows = carriers(9, 120)
