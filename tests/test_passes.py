@@ -1,5 +1,7 @@
 """Hand-made sequences through the pass machine and the clip accounting."""
 
+import random
+
 import pytest
 
 from touchline.functions.counters import COUNTERS
@@ -112,3 +114,44 @@ def test_rulesets():
     assert get_ruleset("classic")["travel_timeout_frames"] == 45
     with pytest.raises(ValueError):
         get_ruleset("beach")
+
+
+def serial_unit(rows):
+    a = b = loose = oof = 0
+    for _, _, label, _, _, kind, team, n in rows:
+        a, b, loose, oof = a + (label == "team_a"), b + (label == "team_b"), loose + (label == "loose"), oof + (label == "oof")
+        if kind == "flip_to":
+            move = min(n, b if team == 0 else a)
+            a, b = (a + move, b - move) if team == 0 else (a - move, b + move)
+        elif kind == "drop":
+            move = min(n, a if team == 0 else b)
+            a, b, oof = a - move * (team == 0), b - move * (team == 1), oof + move
+    return a, b, loose, oof
+
+
+@pytest.mark.parametrize("size", [16384, 16, 3])
+def test_a_whole_match_is_one_unit(spark, size):
+    """Adjustments often ask for more than there is, in several buckets, so later starts depend on earlier clamps."""
+    rnd, rows = random.Random(size), []
+    for match in ("m", "n", "quiet"):
+        for f in range(200):
+            kind = None if match == "quiet" else rnd.choice([None, None, "flip_to", "drop"])
+            label = rnd.choice(["team_a", "team_b", "loose", "oof", "oof"])
+            rows.append((match, f, label, None, None, kind, kind and rnd.randrange(2), kind and rnd.randrange(1, 40)))
+    schema = "match_id string, frame_idx long, label string, event string, from_team int, adj_kind string, adj_team int, adj_n int"
+    got = {r["match_id"]: (r["frames_team_a"], r["frames_team_b"], r["frames_loose"], r["frames_oof"]) for r in ps.whole_match(spark.createDataFrame(rows, schema), size).collect()}
+    assert got == {m: serial_unit([r for r in rows if r[0] == m]) for m in ("m", "n", "quiet")}
+
+
+def test_a_whole_match_differs_from_its_minutes(spark):
+    """The pass over the boundary flips 4 frames: as one unit all of them, by minutes the two of its own and a correction."""
+    labels = ["team_b"] * 3 + ["team_a"] * 2 + ["team_a"] * 4
+    phases = ["in_possession"] * 3 + ["travel"] * 5 + ["in_possession"]
+    rows = [("m", f, 1, 1 + (f >= 5), lab, ph, 0, None, None, None, None, None) for f, (lab, ph) in enumerate(zip(labels, phases))]
+    rows[4] = (*rows[4][:6], 2, *rows[4][7:])
+    rows[8] = ("m", 8, 1, 2, "team_a", "in_possession", 0, "interception", 0, "flip_to", 1, 8)
+    schema = "match_id string, frame_idx long, half int, minute int, label string, phase string, travel int, event string, from_team int, adj_kind string, adj_team int, adj_n int"
+    df = spark.createDataFrame(rows, schema)
+    unit = ps.whole_match(df).first()
+    minutes = ps.minute_rows(df).agg({"frames_team_a": "sum", "frames_team_b": "sum"}).first()
+    assert (unit["frames_team_a"], unit["frames_team_b"]) == (0, 9) and minutes["sum(frames_team_a)"] == 2

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from touchline.functions import counters as cnt
 from touchline.operators import minutes as mn
 from touchline.operators.folds import fold
-from touchline.operators.scans import FRAME_BUCKET, frame_bucket, minute_bucket, previous, scan
+from touchline.operators.scans import FRAME_BUCKET, frame_bucket, minute_bucket, previous, scan, running_sum
+from touchline.session import durable
 
 # fixed values: phases, labels, events
 IDLE, HOLDING, LEAVING, TRAVEL, CATCHING = "idle", "in_possession", "candidate_release", "travel", "candidate_reception"
@@ -230,6 +231,66 @@ def _account(fixes: Column, carry: Column, has_previous: Column, strict: bool) -
     return F.aggregate(fixes, start, apply)
 
 
+def whole_match(steps: DataFrame, size: int = FRAME_BUCKET) -> DataFrame:
+    """Counters of whole matches taken as one unit, half 1 and minute 1 without a duration.
+
+    Without clip boundaries every adjustment acts in full on the counters of the match as they stand at its frame. Running
+    sums give the counters as if no adjustment ever asked for more frames than there are; what the clamps take back is
+    folded per bucket of frames from a guessed start, and the starts are the sums of what earlier buckets took back, so
+    the rounds end when no start changes. Needs no window longer than a bucket.
+    """
+    n, kind, first = F.col("adj_n").cast("long"), F.col("adj_kind"), F.col("adj_team") == 0
+    flip = kind == "flip_to"
+    want_a = F.when(flip & first, n).when(flip | ((kind == "drop") & first), -n)
+    want_b = F.when(flip & ~first, n).when(flip | ((kind == "drop") & ~first), -n)
+    wanted = steps.withColumns({"_wa": F.coalesce(want_a, F.lit(0)), "_wb": F.coalesce(want_b, F.lit(0))})
+    sums = {
+        "_a": running_sum(F.when(F.col("label") == "team_a", 1).otherwise(0) + F.col("_wa")),
+        "_b": running_sum(F.when(F.col("label") == "team_b", 1).otherwise(0) + F.col("_wb")),
+    }
+    counted = scan(wanted, ["match_id"], frame_bucket(size=size), ["frame_idx"], sums, keep_bucket=True)
+    fix = F.struct("frame_idx", (F.col("_a") - F.col("_wa")).alias("a"), (F.col("_b") - F.col("_wb")).alias("b"), kind.alias("kind"), F.col("adj_team").alias("team"), n.alias("n"), "_wa", "_wb")
+    key = ["match_id", "_bucket"]
+    pieces = counted.where("adj_kind IS NOT NULL").groupBy(*key).agg(F.sort_array(F.collect_list(fix)).alias("fixes"))
+    pieces = durable(pieces, "fixes")
+
+    def apply(acc: Column, x: Column) -> Column:
+        a, b = x["a"] + acc["a"], x["b"] + acc["b"]
+        new = cnt.adjust(x["kind"], x["team"], x["n"], a, b, F.lit(0))
+        more = F.when(x["kind"] == "drop", new["oof"] - x["n"]).otherwise(0)
+        return F.struct((acc["a"] + new["a"] - a - x["_wa"]).alias("a"), (acc["b"] + new["b"] - b - x["_wb"]).alias("b"), (acc["o"] + more).alias("o"))
+
+    zero = F.lit(0).cast("long")
+    starts = pieces.select(*key, zero.alias("sa"), zero.alias("sb"))
+    before = Window.partitionBy("match_id").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    while True:
+        begin = F.struct(F.col("sa").alias("a"), F.col("sb").alias("b"), zero.alias("o"))
+        ended = pieces.join(starts, key).withColumn("_end", F.aggregate("fixes", begin, apply))
+        deltas = ended.select(*key, "sa", "sb", (F.col("_end.a") - F.col("sa")).alias("da"), (F.col("_end.b") - F.col("sb")).alias("db"), F.col("_end.o").alias("do"))
+        # one row per bucket
+        found = durable(deltas.withColumns({"na": F.coalesce(F.sum("da").over(before), zero), "nb": F.coalesce(F.sum("db").over(before), zero)}), "starts")
+        if found.where("na <> sa OR nb <> sb").isEmpty():
+            break
+        starts = found.select(*key, F.col("na").alias("sa"), F.col("nb").alias("sb"))
+    taken = found.groupBy("match_id").agg(*[F.sum(c).alias(c) for c in ("da", "db", "do")])
+    events = {"completed": "passes_completed", "interception": "interceptions", "ball_lost": "ball_lost"}
+    total = wanted.groupBy("match_id").agg(
+        (F.count_if(F.col("label") == "team_a") + F.sum("_wa")).alias("frames_team_a"),
+        (F.count_if(F.col("label") == "team_b") + F.sum("_wb")).alias("frames_team_b"),
+        F.count_if(F.col("label") == "loose").alias("frames_loose"),
+        (F.count_if(F.col("label") == "oof") + F.coalesce(F.sum(F.when(kind == "drop", n)), zero)).alias("frames_oof"),
+        *[F.count_if((F.col("event") == e) & (F.col("from_team") == t)).alias(f"{name}_{side}") for e, name in events.items() for t, side in ((0, "team_a"), (1, "team_b"))],
+    )
+    back = {"frames_team_a": "da", "frames_team_b": "db", "frames_oof": "do"}
+    return total.join(taken, "match_id", "left").select(
+        "match_id",
+        F.lit(1).alias("half"),
+        F.lit(1).alias("minute"),
+        F.lit(0.0).alias("clip_duration_seconds"),
+        *[(F.col(c) + F.coalesce(F.col(back[c]), zero) if c in back else F.col(c)).cast("long").alias(c) for c in cnt.COUNTERS],
+    )
+
+
 def corrections(rows: DataFrame) -> DataFrame:
     """Corrections of earlier minutes, keyed by the minute they act on."""
     return rows.filter(F.col("corr_kind").isNotNull()).select(

@@ -125,6 +125,31 @@ def i6(fx):
     return ps.corrections(ps.minute_rows(clip_steps(fx)))
 
 
+WHOLE = FSM + """,
+unit AS (SELECT match_id, CAST(-1 AS BIGINT) AS f, CAST(0 AS BIGINT) AS a, CAST(0 AS BIGINT) AS b, CAST(0 AS BIGINT) AS l, CAST(0 AS BIGINT) AS o FROM (SELECT DISTINCT match_id FROM fx_carrier) m
+UNION ALL SELECT match_id, f, a + CASE WHEN k = 'flip_to' AND t = 0 THEN least(n, b) WHEN k = 'flip_to' OR (k = 'drop' AND t = 0) THEN -least(n, a) ELSE 0 END,
+  b + CASE WHEN k = 'flip_to' AND t = 1 THEN least(n, a) WHEN k = 'flip_to' OR (k = 'drop' AND t = 1) THEN -least(n, b) ELSE 0 END, l,
+  o + CASE WHEN k = 'drop' AND t = 0 THEN least(n, a) WHEN k = 'drop' THEN least(n, b) ELSE 0 END
+ FROM (SELECT u.match_id, x.frame_idx AS f, u.a + CASE WHEN x.label = 'team_a' THEN 1 ELSE 0 END AS a, u.b + CASE WHEN x.label = 'team_b' THEN 1 ELSE 0 END AS b, u.l + CASE WHEN x.label = 'loose' THEN 1 ELSE 0 END AS l,
+   u.o + CASE WHEN x.label = 'oof' THEN 1 ELSE 0 END AS o, fx.kind AS k, fx.team_id AS t, fx.n FROM unit u JOIN frames x ON x.match_id = u.match_id AND x.frame_idx = u.f + 1
+   LEFT JOIN fixes fx ON fx.match_id = x.match_id AND fx.frame_idx = x.frame_idx) z),
+counts AS (SELECT match_id, """ + ", ".join(f"count(*) FILTER (event = '{e}' AND from_team = {t}) AS {n}_team_{s}" for e, n in (("completed", "passes_completed"), ("interception", "interceptions"), ("ball_lost", "ball_lost")) for t, s in ((0, "a"), (1, "b"))) + """ FROM frames GROUP BY match_id)
+SELECT u.match_id, CAST(1 AS INT) AS half, CAST(1 AS INT) AS minute, 0e0 AS clip_duration_seconds, a AS frames_team_a, b AS frames_team_b, l AS frames_loose, o AS frames_oof, c.* EXCLUDE (match_id)
+FROM (SELECT *, row_number() OVER (PARTITION BY match_id ORDER BY f DESC) AS rn FROM unit WHERE f >= 0) u JOIN counts c ON c.match_id = u.match_id WHERE rn = 1"""
+
+
+@query("d32_one_unit", "WITH " + WHOLE)
+def d32_unit(fx):
+    """Whole matches as one unit, without clip boundaries."""
+    return ps.whole_match(steps(fx))
+
+
+@query("d32_one_unit_pieces", like="d32_one_unit")
+def d32_unit_pieces(fx):
+    """The same in buckets of 128 frames."""
+    return ps.whole_match(steps(fx), size=128)
+
+
 KALMAN = RULES + """, best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY match_id, frame_idx ORDER BY confidence DESC, ball_no) AS rn FROM fx_balls) b WHERE rn = 1),
 obs AS (SELECT f.match_id, f.frame_idx, b.cx, b.cy, b.confidence, r.coast, r.sigma FROM fx_frames f LEFT JOIN best b ON b.match_id = f.match_id AND b.frame_idx = f.frame_idx
   JOIN fx_matches m ON m.match_id = f.match_id JOIN fx_rules r ON r.ruleset = m.ruleset),
