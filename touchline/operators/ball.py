@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from touchline.operators.folds import fold
-from touchline.operators.scans import FRAME_BUCKET
+from touchline.operators.scans import FRAME_BUCKET, frame_bucket, last_seen, scan
 
 # fixed values: noise of position, velocity and measurement, and the variance at the first sight
 POSITION_NOISE, VELOCITY_NOISE, MEASURE_NOISE, SEED_VARIANCE = 4.0, 25.0, 9.0, 100.0
@@ -56,6 +56,18 @@ def smooth_ball(frames: DataFrame, size: int = FRAME_BUCKET, warmup: int = 256)
     return fold(frames, ["match_id"], "frame_idx", inputs, ball_step, BALL_START, BALL_OUTPUT, size=size, warmup=warmup)
 
 
+def held_boxes(smoothed: DataFrame, balls: DataFrame, size: int = FRAME_BUCKET) -> DataFrame:
+    """``smoothed`` with the ball's box: its own where it was accepted, the last accepted one while it coasts, none when lost.
+
+    ``balls``: one row per frame at most, with x1, y1, x2, y2.
+    """
+    sides = ["x1", "y1", "x2", "y2"]
+    box = F.when(F.col("ball_state") == DETECTED, F.struct(*sides))
+    joined = smoothed.join(balls.select("match_id", "frame_idx", *sides), ["match_id", "frame_idx"], "left")
+    seen = scan(joined, ["match_id"], frame_bucket(size=size), ["frame_idx"], {"_held": last_seen(box)})
+    return seen.select(*smoothed.columns, *[F.when(F.col("ball_state") != LOST, F.col(f"_held.{c}")).alias(c) for c in sides])
+
+
 def area_step(state: tuple, _frame: int, row: tuple) -> tuple[tuple, tuple]:
     (last,), (area, limit) = state, row
     ok = area <= limit and not (last > 0 and area > MAX_AREA_GROWTH * last)

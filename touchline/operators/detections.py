@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 # fixed values: class name per list of detections
 ROUTES = {"players": "active_player", "referees": "referee", "goal_posts": "goal_post", "balls": "ball"}
+# fixed value
+MIN_CROP_AREA = 400
 FRAME = ["match_id", "frame_idx"]
 
 
@@ -81,6 +83,17 @@ def crop_gate(df: DataFrame, min_px: Column | int, blur: Column | float, inclusi
     return df.filter((F.least("crop_w", "crop_h") >= F.lit(min_px)) & sharp)
 
 
+def area_gate(df: DataFrame, least: int = MIN_CROP_AREA, channels: int = 3) -> DataFrame:
+    """Crops that hold at least ``least`` values, a value per pixel and channel, each with the crop to take features from.
+
+    That is the torso (torso_w, torso_h), or where the torso holds fewer values the whole crop (crop_w, crop_h); adds
+    used_w, used_h and torso, which tells which it is.
+    """
+    torso = F.col("torso_w") * F.col("torso_h") * channels >= least
+    large = df.filter(F.col("crop_w") * F.col("crop_h") * channels >= least)
+    return large.withColumns({"torso": torso, "used_w": F.when(torso, F.col("torso_w")).otherwise(F.col("crop_w")), "used_h": F.when(torso, F.col("torso_h")).otherwise(F.col("crop_h"))})
+
+
 def allow_classes(df: DataFrame, names: list[str]) -> DataFrame:
     return df.filter(F.col("class_name").isin(names))
 

@@ -130,12 +130,12 @@ def resolve_clusters(cluster_colours: DataFrame, matches: DataFrame) -> DataFram
 
 
 def sample_per_cluster(crops: DataFrame, n: int = CROPS_PER_CLUSTER, seed: int = SAMPLE_SEED) -> DataFrame:
-    """At most ``n`` crops per (match, cluster), chosen by a seeded hash.
+    """At most ``n`` crops per (match, cluster), those with the smallest md5 of the seed and their own key.
 
     The rank filter is applied before the shuffle as well, so a large cluster sends
     ``n`` rows per task.
     """
-    key = F.xxhash64(F.lit(seed), *[F.col(c) for c in CROP])
+    key = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in CROP]))
     w = Window.partitionBy("match_id", "cluster").orderBy(key, *CROP)
     return crops.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= n).drop("_rank")
 

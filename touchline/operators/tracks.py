@@ -107,21 +107,28 @@ def boxes_as(rows: DataFrame, prefix: str, *keep: Column | str) -> DataFrame:
 
 
 def duplicate_pairs(boxes: DataFrame, bar: float = DUPLICATE_IOU) -> DataFrame:
-    """Pairs a < b of one frame that overlap by at least ``bar`` (above one half).
+    """Pairs a < b of one frame that overlap by at least ``bar``, which has to be above 0.
 
-    Two such boxes each hold the centre of the other, so one is spread over the cells
-    it touches and met only by the boxes whose centre lies in them.
+    Above one half two such boxes each hold the centre of the other, so one is spread over the cells
+    it touches and met only by the boxes whose centre lies in them. Up to one half both are spread, and a pair is
+    taken in the first cell that both touch.
     """
-    if bar <= 0.5:
-        raise ValueError("centres are only sure to be shared above one half")
+    if bar <= 0:
+        raise ValueError("boxes that do not overlap share no cell")
     wide = with_cells(boxes_as(boxes, "p_", F.col("track_id").alias("a")), "p_x1", "p_y1", "p_x2", "p_y2")
-    point = boxes_as(boxes, "q_", F.col("track_id").alias("b")).withColumns(
-        {
-            "gx": F.floor((F.col("q_x1") + F.col("q_x2")) / 2 / CELL_PX).cast("int"),
-            "gy": F.floor((F.col("q_y1") + F.col("q_y2")) / 2 / CELL_PX).cast("int"),
-        }
-    )
-    joined = wide.join(point, [*FRAME, "gx", "gy"]).filter("a < b")
+    point = boxes_as(boxes, "q_", F.col("track_id").alias("b"))
+    if bar > 0.5:
+        point = point.withColumns(
+            {
+                "gx": F.floor((F.col("q_x1") + F.col("q_x2")) / 2 / CELL_PX).cast("int"),
+                "gy": F.floor((F.col("q_y1") + F.col("q_y2")) / 2 / CELL_PX).cast("int"),
+            }
+        )
+        once = F.lit(True)
+    else:
+        point = with_cells(point, "q_x1", "q_y1", "q_x2", "q_y2")
+        once = (F.col("gx") == F.floor(F.greatest("p_x1", "q_x1") / CELL_PX)) & (F.col("gy") == F.floor(F.greatest("p_y1", "q_y1") / CELL_PX))
+    joined = wide.join(point, [*FRAME, "gx", "gy"]).filter(F.expr("a < b") & once)
     return joined.select(*FRAME, "a", "b", overlap("p_", "q_").alias("iou")).filter(F.col("iou") >= bar)
 
 

@@ -12,6 +12,7 @@ from touchline.plans import (  # noqa: F401
     pitch_queries,
     reid_queries,
     scalar_queries,
+    stored_queries,
     team_queries,
     track_queries,
 )

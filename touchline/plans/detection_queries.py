@@ -121,6 +121,18 @@ def b8(fx):
     return det.resample_fps(fx.frames, 20.0 + F.col("mno"), 15.0).select("match_id", "frame_idx", "kept_idx")
 
 
+# crops from nothing to a few hundred pixels, torsos of about a third of them
+SMALL = """SELECT match_id, frame_idx, track_id, CAST((x1 + frame_idx) % 24 AS INT) AS crop_w, CAST(y2 % 31 AS INT) AS crop_h,
+ CAST(floor(((x1 + frame_idx) % 24) * 6 / 10) AS INT) AS torso_w, CAST(floor((y2 % 31) / 2) AS INT) AS torso_h FROM fx_players"""
+
+
+@query("b9_area_gate", f"""SELECT match_id, frame_idx, track_id, torso_w * torso_h * 3 >= 400 AS torso, CASE WHEN torso_w * torso_h * 3 >= 400 THEN torso_w ELSE crop_w END AS used_w,
+ CASE WHEN torso_w * torso_h * 3 >= 400 THEN torso_h ELSE crop_h END AS used_h FROM ({SMALL}) s WHERE crop_w * crop_h * 3 >= 400""")
+def b9_area(fx):
+    """Crops by area, small torsos falling back to the whole crop."""
+    return det.area_gate(fx.sql(SMALL)).select("match_id", "frame_idx", "track_id", "torso", "used_w", "used_h")
+
+
 @query("b9_crop_gate", "WITH " + RULES + """
 SELECT c.match_id, c.frame_idx, c.track_id, c.crop_w, c.crop_h, c.sharpness FROM fx_crops c JOIN fx_matches m USING (match_id) JOIN fx_rules r USING (ruleset)
 WHERE c.crop_w >= r.min_crop_px AND c.crop_h >= r.min_crop_px AND c.sharpness > r.blur_threshold""")
@@ -157,7 +169,7 @@ def b14(fx):
 
 
 ZONE = RULES + """, best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY match_id, frame_idx ORDER BY confidence DESC, ball_no) AS rn FROM fx_balls) b WHERE rn = 1),
-zone AS (SELECT p.match_id, p.frame_idx, p.track_id, p.team_id, sqrt(pow(floor((p.x1 + p.x2) / 2) - b.cx, 2) + pow(p.y2 - b.cy, 2)) AS dist,
+zone AS MATERIALIZED (SELECT p.match_id, p.frame_idx, p.track_id, p.team_id, sqrt(pow(floor((p.x1 + p.x2) / 2) - b.cx, 2) + pow(p.y2 - b.cy, 2)) AS dist,
   greatest(r.zone_min, least(r.zone_max, r.zone_ratio * greatest(1, p.y2 - p.y1))) AS radius
   FROM best b JOIN fx_players p ON p.match_id = b.match_id AND p.frame_idx = b.frame_idx
   JOIN fx_matches m ON m.match_id = b.match_id JOIN fx_rules r ON r.ruleset = m.ruleset),

@@ -183,6 +183,18 @@ def i1(fx):
     return ball.smooth_ball(ball_frames(fx))
 
 
+HELD = KALMAN + """, boxed AS (SELECT k.match_id, k.f AS frame_idx, k.st, CASE WHEN k.st = 'detected' THEN b.cx - 8 END AS x, CASE WHEN k.st = 'detected' THEN b.cy + 9 END AS y FROM ball k LEFT JOIN best b ON b.match_id = k.match_id AND b.frame_idx = k.f WHERE k.f >= 0),
+held AS (SELECT *, last_value(x IGNORE NULLS) OVER w AS hx, last_value(y IGNORE NULLS) OVER w AS hy FROM boxed WINDOW w AS (PARTITION BY match_id ORDER BY frame_idx ROWS UNBOUNDED PRECEDING))
+SELECT match_id, frame_idx, st AS ball_state, CASE WHEN st <> 'lost' THEN hx END AS x1, CASE WHEN st <> 'lost' THEN hy END AS y2 FROM held"""
+
+
+@query("i1_held_box", "WITH " + HELD)
+def i1_held(fx):
+    """Box of the ball in every frame, kept while it coasts."""
+    boxes = det.best_ball(fx.balls).select("match_id", "frame_idx", (F.col("cx") - 8).alias("x1"), (F.col("cy") - 8).alias("y1"), (F.col("cx") + 9).alias("x2"), (F.col("cy") + 9).alias("y2"))
+    return ball.held_boxes(ball.smooth_ball(ball_frames(fx)), boxes).select("match_id", "frame_idx", "ball_state", "x1", "y2")
+
+
 AREAS = """areas AS (SELECT match_id, track_id, frame_idx, (x2 - x1) * (y2 - y1) * (1 + (x1 + y1) % 5) * (1 + x1 % 3) + 0e0 AS area, row_number() OVER (PARTITION BY match_id, track_id ORDER BY frame_idx) AS rn FROM fx_players),
 keep AS (SELECT match_id, track_id, frame_idx, rn, area <= 3e4 AS ok, CASE WHEN area <= 3e4 THEN area ELSE 0e0 END AS last FROM areas WHERE rn = 1
  UNION ALL SELECT a.match_id, a.track_id, a.frame_idx, a.rn, a.area <= 3e4 AND NOT (k.last > 0 AND a.area > 3 * k.last), CASE WHEN a.area <= 3e4 AND NOT (k.last > 0 AND a.area > 3 * k.last) THEN a.area ELSE k.last END

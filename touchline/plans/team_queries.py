@@ -139,7 +139,8 @@ def d25(fx):
     return rows.select(*tm.CROP, xy[0].alias("pc1"), xy[1].alias("pc2"), F.lit(float(shares[0])).alias("explained1"), F.lit(float(shares[1])).alias("explained2"))
 
 
-@query("f9_cluster_sample")
+@query("f9_cluster_sample", """SELECT match_id, frame_idx, track_id, cluster FROM (SELECT match_id, frame_idx, track_id, team_id AS cluster,
+ row_number() OVER (PARTITION BY match_id, team_id ORDER BY md5(concat_ws(':', '0', match_id, CAST(frame_idx AS VARCHAR), CAST(track_id AS VARCHAR))), match_id, frame_idx, track_id) AS rn FROM fx_crops) r WHERE rn <= 30""")
 def f9(fx):
     """at most 30 crops per cluster (the sampling operator)."""
     crops = fx.crops.select("match_id", "frame_idx", "track_id", F.col("team_id").alias("cluster"))

@@ -82,7 +82,10 @@ def f8(fx):
 CLOSE = "SELECT match_id, frame_idx, track_id, x1 % 160 AS x1, y1 % 90 AS y1, x1 % 160 + 60 AS x2, y1 % 90 + 80 AS y2 FROM fx_players"
 IOU = """greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) / CAST((a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1)
  - greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) AS DOUBLE)"""
-PAIRS = f"c AS ({CLOSE}), pairs AS (SELECT a.match_id, a.frame_idx, a.track_id AS a, b.track_id AS b, {IOU} AS iou FROM c a JOIN c b ON b.match_id = a.match_id AND b.frame_idx = a.frame_idx AND a.track_id < b.track_id)"
+# one key per frame, and the pairs of a frame before any test on them
+PAIRS = f"""c AS MATERIALIZED (SELECT *, concat(match_id, ':', CAST(frame_idx AS VARCHAR)) AS mf FROM ({CLOSE}) x),
+met AS MATERIALIZED (SELECT a.match_id, a.frame_idx, a.track_id AS a, b.track_id AS b, {IOU} AS iou FROM c a JOIN c b ON b.mf = a.mf),
+pairs AS (SELECT * FROM met WHERE a < b)"""
 
 
 @query("c9_duplicate_pairs", f"WITH {PAIRS} SELECT * FROM pairs WHERE iou >= 6e-1")
@@ -91,6 +94,12 @@ def c9(fx):
     return tk.duplicate_pairs(fx.sql(CLOSE))
 
 
+@query("c9_overlapping_pairs", f"WITH {PAIRS} SELECT * FROM pairs WHERE iou >= 3e-1")
+def c9_overlapping(fx):
+    """The same at a bar below one half."""
+    return tk.duplicate_pairs(fx.sql(CLOSE), 0.3)
+
+
 SHIFTED = "SELECT match_id, frame_idx, track_id, x1 % 160 + frame_idx % 40 AS x1, y1 % 90 AS y1, x1 % 160 + frame_idx % 40 + 60 AS x2, y1 % 90 + 80 AS y2 FROM fx_players WHERE confidence >= 7e-1"
 
 
