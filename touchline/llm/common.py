@@ -48,13 +48,15 @@ def numbered(df: DataFrame, name: str = ROW) -> DataFrame:
         return numbered(durable(df, "rows"), name)
     bare = r"^[A-Za-z0-9+.-]+:/*"
     paths = sorted({re.sub(bare, "", f) for f in df.inputFiles()})
-    files = df.sparkSession.createDataFrame(list(enumerate(paths)), "_numbered_of long, _numbered_file string")
+    # written, so that scans of the same rows share one exchange
+    files = durable(df.sparkSession.createDataFrame(list(enumerate(paths)), "_numbered_of long, _numbered_file string").coalesce(1), "files")
     if sum(map(len, paths)) < 64 << 20:
         files = F.broadcast(files)
     meta = df.metadataColumn("_metadata")
     placed = df.withColumns({"_numbered_file": F.regexp_replace(meta.getField("file_path"), bare, ""), "_numbered_at": meta.getField("row_index")})
     number = F.when(F.col("_numbered_of").isNull(), F.raise_error(F.lit("a file that was not listed"))).otherwise(F.shiftleft("_numbered_of", 38) + F.col("_numbered_at"))
-    return placed.join(files, "_numbered_file", "left").withColumn(name, number).select(*(c for c in df.columns if c != name), name)
+    # never null, so that joins on it add no filter and share one exchange of the rows
+    return placed.join(files, "_numbered_file", "left").withColumn(name, F.coalesce(number, F.lit(-1))).select(*(c for c in df.columns if c != name), name)
 
 
 def spread_lookup(rows: DataFrame, key: list[str], values: DataFrame, row: str, salts: int = 64) -> DataFrame:

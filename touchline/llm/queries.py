@@ -48,8 +48,8 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is left of every document without repeated strings of 400 bytes."""
-    return repeats.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    """What is left of every document without repeated strings of 400 bytes, and the text left."""
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
 
 
 @_query

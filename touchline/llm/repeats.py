@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.common import ROW, byte_texts, flat_bytes, kept, numbered, ranges, slices, spread_lookup
+from touchline.llm.common import ROW, byte_texts, flat_bytes, kept, numbered, ranges, skew_join, slices, spread_lookup
 from touchline.session import durable
 
 LEAST = 400
@@ -288,8 +288,8 @@ def repeated_marks(docs: DataFrame, least: int = LEAST) -> DataFrame:
         )
 
     once = bytes_of(False).repartition("context").sortWithinPartitions("context").mapInArrow(lambda b: _decide(b, least), _MARKS)
-    # a class is unique on its side, so adaptive execution can split a class with very many members
-    copies = found.join(classes.where("members > 1").select("context", "digest"), ["context", "digest"]).select(ROW, "start", "starts")
+    again = classes.where("members > 1").select("context", "digest", "members")
+    copies = skew_join(found, ["context", "digest"], again.select("context", "digest"), again, "members", "start").select(ROW, "start", "starts")
     marks = once.unionByName(copies)
     if not shared.where(F.col("bytes") > MOST_BYTES).isEmpty():
         strings = bytes_of(True).mapInArrow(lambda b: _strings(b, least), f"{ROW} long, start long, d1 long, d2 long")
@@ -317,20 +317,21 @@ def _remove(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Record
             removed.append(len(text) - len(left))
             spans.append(len(runs))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(whole, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k in kept]), pa.array(kept, pa.binary())],
-            names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
+            [batch.column("doc_id"), pa.array(whole, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()), pa.array([k.decode(errors="replace") for k in kept], pa.string())],
+            names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"],
         )
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
     """Each document without the bytes of strings of ``least`` bytes that start anywhere else too.
 
-    Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the bytes kept. Matches never cross
+    Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the text kept, in which a character cut in two by a removed
+    string is a replacement sign (the digest is of the bytes). Matches never cross
     documents; overlaps count; the input decides, not what is left. Null and empty texts keep nothing; repeated
     rows remove each other's strings; a null doc_id is a document like any other; an empty table gives
     an empty result.
     """
     rows = numbered(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
     marks = repeated_marks(rows, least).groupBy(ROW).agg(F.collect_list(F.struct("start", "starts")).alias("marks"))
-    schema = f"doc_id {docs.schema[doc_id].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+    schema = f"doc_id {docs.schema[doc_id].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string"
     return rows.join(marks, ROW, "left").select("doc_id", "text", "marks").mapInArrow(lambda b: _remove(b, least), schema)
