@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.llm.common import flat_bytes, ranges, slices
@@ -15,9 +15,9 @@ from touchline.llm.language import fold
 
 #: bytes of a passage
 PASSAGE = 512
-#: labelled documents that the weights are fitted on, and passages taken from each, evenly spaced
+#: labelled documents that the weights are fitted on, and passages of all of them together; documents are taken whole
 SAMPLE = 4000
-SAMPLE_PASSAGES = 32
+SAMPLE_PASSAGES = 100_000
 ENCODED = 24
 ATTENTION = 12
 EPOCHS = 30
@@ -134,10 +134,11 @@ def fit(x: np.ndarray, number: np.ndarray, y: np.ndarray, epochs: int = EPOCHS,
     return Bags(weights)
 
 
-def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, per_document: int = SAMPLE_PASSAGES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Passages of at most ``most`` labelled documents that are not held out: features, passages of each, label.
+def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, most_passages: int = SAMPLE_PASSAGES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All passages of at most ``most`` labelled documents that are not held out: features, passages of each, label.
 
-    The documents are those with the smallest hashes of their ids. Labels of one id that differ are averaged.
+    The documents are those with the smallest hashes of their ids, as many as hold at most ``most_passages`` passages together.
+    Labels of one id that differ are averaged.
     """
     known = (
         labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), 5) != 0))
@@ -146,18 +147,21 @@ def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, per_document:
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(most)
     )
+    size = F.greatest(F.lit(1), F.ceil(F.coalesce(F.octet_length("text"), F.lit(0)) / PASSAGE))
+    # at most `most` rows
+    sizes = docs.select("doc_id", size.alias("n")).join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.sum("n").alias("n"), F.first("quality").alias("quality"))
+    upto = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    chosen = sizes.withColumn("_sum", F.sum("n").over(upto)).where(F.col("_sum") <= most_passages).select("doc_id", "quality")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
                 x, number = passages(*flat_bytes(part.column("text")))
-                starts = np.cumsum(np.r_[0, number[:-1]])
-                taken = [s + np.unique(np.linspace(0, n - 1, min(n, per_document)).astype(int)) for s, n in zip(starts, number)]
-                packed = [np.round(x[t] * 255).astype(np.uint8).tobytes() for t in taken]
-                yield pa.RecordBatch.from_arrays([part.column("quality"), pa.array([len(t) for t in taken], pa.int32()), pa.array(packed, pa.binary())], names=["quality", "passages", "features"])
+                ends = np.cumsum(number)
+                packed = [np.round(x[e - n : e] * 255).astype(np.uint8).tobytes() for e, n in zip(ends, number)]
+                yield pa.RecordBatch.from_arrays([part.column("quality"), pa.array(number, pa.int32()), pa.array(packed, pa.binary())], names=["quality", "passages", "features"])
 
-    # at most `most` rows of two numbers
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "quality").mapInArrow(run, "quality int, passages int, features binary").collect()
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "quality").mapInArrow(run, "quality int, passages int, features binary").collect()
     rows.sort(key=lambda r: (r["features"], r["quality"]))
     x = np.frombuffer(b"".join(r["features"] for r in rows), np.uint8).reshape(-1, FEATURES).astype(np.float32) / 255
     return x, np.array([r["passages"] for r in rows], np.int64), np.array([r["quality"] for r in rows], np.float64)
@@ -180,7 +184,7 @@ def score(docs: DataFrame, model: Bags, text: str = "text") -> DataFrame:
 def rate(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, most: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score and predicted of every document.
 
-    Weights are fitted on at most ``most`` labelled documents outside the held-out fold; every
+    Weights are fitted on at most ``most`` whole labelled documents outside the held-out fold; every
     passage of every document is scored. Null and empty texts are scored too; repeated rows get equal scores; labels
     of unknown documents and null labels are ignored; empty tables give an empty result or, without
     labels, the score 0.5.
