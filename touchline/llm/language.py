@@ -14,11 +14,11 @@ from pyspark.sql import functions as F
 from touchline.llm.common import byte_texts, ranges, slices
 
 BUCKETS = 1 << 13
+#: rounds between two looks at how far the proportions may still rise, and how far they may when they count as settled, in nats
 ROUNDS = 12
+SETTLED = 0.05
 #: nats that each language after the first costs, times the log of the number of n-grams
 PENALTY = 3.0
-#: languages of one text
-MOST = 4
 UNKNOWN = "und"
 _LETTER = r"[^\W\d_]"
 
@@ -63,7 +63,75 @@ def _sums(values: np.ndarray, heads: np.ndarray) -> np.ndarray:
     return np.add.reduceat(values, heads, axis=0)
 
 
-def proportions(model: Mixture, texts: list[bytes], rounds: int = ROUNDS, penalty: float = PENALTY) -> tuple[np.ndarray, np.ndarray]:
+class _Counts:
+    """n-grams of some texts: probability in each language, count, and where each text begins."""
+
+    def __init__(self, p: np.ndarray, count: np.ndarray, heads: np.ndarray):
+        self.p, self.count, self.heads = p, count, heads
+        self.sizes = np.diff(np.r_[heads, len(count)])
+        self.total = _sums(count, heads).astype(np.float64)
+
+    def of(self, texts: np.ndarray) -> _Counts:
+        if len(texts) == len(self.heads):
+            return self
+        rows = ranges(self.heads[texts], self.sizes[texts])
+        return _Counts(self.p[rows], self.count[rows], np.r_[0, np.cumsum(self.sizes[texts])[:-1]])
+
+    def rounds(self, mix: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``n`` rounds of expectation-maximisation: proportions, log-likelihood, and a bound of what more rounds can add.
+
+        The likelihood is concave in the proportions, so it lies below its tangent: no proportions of the same languages reach
+        more than the largest slope less the number of n-grams above it.
+        """
+        for step in range(n + 1):
+            mean = np.einsum("ij,ij->i", np.repeat(mix, self.sizes, axis=0), self.p)
+            slope = _sums(self.p * (self.count / mean)[:, None], self.heads)
+            if step < n:
+                mix = mix * slope / self.total[:, None]
+        likely = _sums(self.count * np.log(mean), self.heads)
+        return mix, likely, np.where(mix > 0, slope, 0).max(axis=1) - self.total
+
+    def settle(self, mix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Proportions and log-likelihood once no text can gain more than ``SETTLED``; languages at 0 stay out."""
+        mix, likely, active = mix.copy(), np.zeros(len(mix)), np.arange(len(mix))
+        while len(active):
+            mix[active], likely[active], more = self.of(active).rounds(mix[active], ROUNDS)
+            active = active[more > SETTLED]
+        return mix, likely
+
+
+def _sets(counts: _Counts, chosen: np.ndarray, cost: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Largest language of the best set of each text, from the single language ``chosen`` with log-likelihood ``value``.
+
+    One language is added or dropped, whichever raises the penalised likelihood most, until none does. A set costs
+    ``cost`` for each language after the first.
+    """
+    n, languages = len(chosen), counts.p.shape[1]
+    held = np.zeros((n, languages), bool)
+    held[np.arange(n), chosen] = True
+    pick, value, active = chosen.copy(), value.copy(), np.arange(n)
+    while len(active):
+        some = counts.of(active)
+        best, toggle, largest = value[active].copy(), np.full(len(active), -1), np.zeros(len(active), np.int64)
+        for j in range(languages):
+            tried = held[active].copy()
+            tried[:, j] ^= True
+            able = np.flatnonzero(tried.any(axis=1))
+            if not len(able):
+                continue
+            start = tried[able] / tried[able].sum(axis=1, keepdims=True)
+            mix, likely = some.of(able).settle(start)
+            worth = likely - (tried[able].sum(axis=1) - 1) * cost[active[able]]
+            up = worth > best[able] + 1e-9
+            best[able[up]], toggle[able[up]], largest[able[up]] = worth[up], j, mix[up].argmax(axis=1)
+        moved = toggle >= 0
+        active, toggle = active[moved], toggle[moved]
+        held[active, toggle] ^= True
+        value[active], pick[active] = best[moved], largest[moved]
+    return pick
+
+
+def proportions(model: Mixture, texts: list[bytes], penalty: float = PENALTY) -> tuple[np.ndarray, np.ndarray]:
     """Most likely language and its proportion in each text; language -1 where there is nothing to go by."""
     best, score = np.full(len(texts), -1), np.zeros(len(texts))
     doc, bucket, count = grams(texts, len(model.share))
@@ -71,41 +139,23 @@ def proportions(model: Mixture, texts: list[bytes], rounds: int = ROUNDS, penalt
         return best, score
     heads = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
     which = doc[heads]
-    sizes = np.diff(np.r_[heads, len(doc)])
-    total = _sums(count, heads).astype(np.float64)
-    p = model.share[bucket]
-
-    def fit(start: np.ndarray, p: np.ndarray, count: np.ndarray, heads: np.ndarray, sizes: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        mix = start
-        for _ in range(rounds):
-            mean = np.einsum("ij,ij->i", np.repeat(mix, sizes, axis=0), p)
-            mix = mix * _sums(p * (count / mean)[:, None], heads) / total[:, None]
-        mean = np.einsum("ij,ij->i", np.repeat(mix, sizes, axis=0), p)
-        return mix, _sums(count * np.log(mean), heads)
-
-    languages = len(model.names)
-    alone = _sums(count[:, None] * np.log(p), heads)
-    full, reached = fit(np.full((len(heads), languages), 1 / languages), p, count, heads, sizes, total)
+    counts = _Counts(model.share[bucket], count, heads)
+    alone = _sums(count[:, None] * np.log(counts.p), heads)
     chosen, gain = alone.argmax(axis=1), alone.max(axis=1)
-    cost = penalty * np.log(total + 1)
+    cost = penalty * np.log(counts.total + 1)
+    mix, reached, more = counts.rounds(np.full(alone.shape, 1 / len(model.names)), ROUNDS)
+    # no set beats the one language if even the bound for all languages together gains less than a second one costs
+    open_ = np.flatnonzero(reached + more - cost > gain)
+    undecided = open_[more[open_] > SETTLED]
+    while len(undecided):
+        mix[undecided], reached[undecided], more[undecided] = counts.of(undecided).rounds(mix[undecided], ROUNDS)
+        undecided = undecided[(more[undecided] > SETTLED) & ((reached + more - cost > gain)[undecided])]
+    open_ = open_[(reached + more - cost > gain)[open_]]
     pick = chosen.copy()
-    # no set beats the one language where even all of them together gain less than a second one costs
-    open_ = np.flatnonzero(reached - cost > gain)
     if len(open_):
-        rows = ranges(heads[open_], sizes[open_])
-        p_, count_, sizes_, total_ = p[rows], count[rows], sizes[open_], total[open_]
-        heads_ = np.r_[0, np.cumsum(sizes_)[:-1]]
-        order = np.argsort(-full[open_], axis=1, kind="stable")
-        value = gain[open_].copy()
-        for k in range(2, min(MOST, languages) + 1):
-            start = np.zeros((len(open_), languages))
-            np.put_along_axis(start, order[:, :k], 1 / k, axis=1)
-            mix, likely = fit(start, p_, count_, heads_, sizes_, total_)
-            better = likely - (k - 1) * cost[open_] > value
-            value[better] = (likely - (k - 1) * cost[open_])[better]
-            pick[open_[better]] = mix.argmax(axis=1)[better]
+        pick[open_] = _sets(counts.of(open_), chosen[open_], cost[open_], gain[open_])
     best[which] = pick
-    score[which] = np.clip(full[np.arange(len(heads)), pick], 0.0, 1.0)
+    score[which] = np.clip(mix[np.arange(len(heads)), pick], 0.0, 1.0)
     return best, score
 
 
