@@ -28,7 +28,8 @@ def rows(df):
 @pytest.mark.parametrize("name", sorted(CHECKS))
 def test_sql_agrees(spark, name):
     con = duckdb.connect()
-    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    for source in ("documents", "conversations"):
+        con.sql(f"CREATE VIEW {source} AS SELECT * FROM '{SF}/{source}.parquet'")
     df = QUERIES[name](spark, SF)
     assert rows(df) == {r[0]: tuple(r[1:]) for r in con.sql(f"SELECT {', '.join(df.columns)} FROM ({CHECKS[name]})").fetchall()}
 

@@ -10,7 +10,7 @@ from functools import lru_cache
 import duckdb
 import pytest
 
-from touchline.llm import turns
+from touchline.llm import turn_checks, turns
 from touchline.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.01"
@@ -104,6 +104,16 @@ def test_random_conversations(spark, long_rows):
     assert got == plain(rows)
 
 
+def test_sql_agrees_on_random_conversations(tmp_path):
+    """The checking SQL itself against the exhaustive search."""
+    rows = random_rows(9, 40, 9) + [(None, 2, "assistant", "Odd."), (None, 1, "user", "Even")]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    got = {r[0]: tuple(r[1:]) for r in con.sql(turn_checks.repair_sql()).fetchall()}
+    assert got == plain(rows)
+
+
 def test_powers_are_repeated_steps():
     for symbol in range(9):
         costs = turns.END

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm import exact_dedup, language, neighbours, packing, passages, pieces, quality, repeats, resampling, secret_scan, simhash, token_files, turns
+from touchline.llm import exact_dedup, language, neighbours, packing, passages, pieces, quality, repeats, resampling, secret_scan, simhash, token_files, turn_checks, turns
 from touchline.llm.common import table
 
 #: where the vocabularies of the public tokenizers are
@@ -140,4 +140,5 @@ SELECT doc_id, len(words) AS n_words, coalesce(len(places), 0) AS n_removed,
     list_transform(list_filter(range(1, len(words) + 1), lambda i: NOT list_contains(places, i)), lambda i: words[i]) END, ' ')) AS kept_sha256
 FROM texts LEFT JOIN lost USING (doc_id)
 """
+CHECKS["op12_conversations"] = turn_checks.repair_sql()
 CHECKS["op1_secret_scan"] = secret_scan.report_sql()
