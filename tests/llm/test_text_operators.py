@@ -422,3 +422,36 @@ def test_search_memory_does_not_grow_with_pieces():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 200e6
+
+
+def test_models_that_rewrite_text_are_refused(monkeypatch):
+    import sentencepiece
+
+    class Rewriting:
+        def __init__(self, model_file):
+            pass
+
+        def encode(self, text):
+            return text
+
+        def decode(self, ids):
+            return ids.replace("ﬁ", "fi")
+
+    monkeypatch.setattr(sentencepiece, "SentencePieceProcessor", Rewriting)
+    with pytest.raises(ValueError, match="rewrite"):
+        pieces.PieceModel("any")
+
+
+def test_stored_arrays_by_offset(tmp_path):
+    """A file that is not mapped gives the same slices."""
+    from pyarrow import fs
+
+    np.arange(1000, dtype="<u2").tofile(tmp_path / "x.bin")
+    open(tmp_path / "empty.bin", "wb").close()
+    far = fs.SubTreeFileSystem(str(tmp_path), fs.LocalFileSystem())
+    near = token_files._Stored(fs.LocalFileSystem(), str(tmp_path / "x.bin"), "<u2")
+    stored = token_files._Stored(far, "x.bin", "<u2")
+    assert stored.mapped is None and near.mapped is not None and len(stored) == len(near) == 1000
+    for part in (slice(0, 10), slice(990, 1001), slice(5, 5)):
+        assert stored[part].tolist() == near[part].tolist()
+    assert len(token_files._Stored(far, "empty.bin", "<u2")[0:1]) == 0

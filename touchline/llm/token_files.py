@@ -74,12 +74,24 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end: int = E
     return spark.read.schema(_MANIFEST).parquet(f"{folder}/manifest")
 
 
-def _mapped(system: fs.FileSystem, path: str, kind: str) -> np.ndarray:
-    """A file as an array: mapped where the file system is local, read otherwise."""
-    if isinstance(system, fs.LocalFileSystem):
-        return np.memmap(path, kind, "r") if system.get_file_info(path).size else np.zeros(0, kind)
-    with system.open_input_file(path) as f:
-        return np.frombuffer(f.read(), kind)
+class _Stored:
+    """A file as an array of which slices are taken: mapped where the file system is local, else read by offset."""
+
+    def __init__(self, system: fs.FileSystem, path: str, kind: str):
+        self.kind, self.size = np.dtype(kind), system.get_file_info(path).size // np.dtype(kind).itemsize
+        local = isinstance(system, fs.LocalFileSystem) and self.size
+        self.mapped = np.memmap(path, kind, "r") if local else None
+        self.file = None if local else system.open_input_file(path)
+
+    def __len__(self) -> int:
+        return self.size
+
+    def __getitem__(self, part: slice) -> np.ndarray:
+        if self.mapped is not None:
+            return self.mapped[part]
+        first, last, _ = part.indices(self.size)
+        wide = self.kind.itemsize
+        return np.frombuffer(self.file.read_at(max(0, last - first) * wide, first * wide), self.kind)
 
 
 def read_tokens(spark: SparkSession, folder: str, wide: bool = False) -> DataFrame:
@@ -99,12 +111,13 @@ def read_tokens(spark: SparkSession, folder: str, wide: bool = False) -> DataFra
         system, path = _open(folder)
         for batch in batches:
             for p in batch.to_pylist():
-                ids = _mapped(system, f"{path}/{p['name']}.bin", kind)
-                offsets = _mapped(system, f"{path}/{p['name']}.idx", "<i8")
-                names = _mapped(system, f"{path}/{p['name']}.ids", "<i8")
+                ids = _Stored(system, f"{path}/{p['name']}.bin", kind)
+                offsets = _Stored(system, f"{path}/{p['name']}.idx", "<i8")
+                names = _Stored(system, f"{path}/{p['name']}.ids", "<i8")
                 for at in range(0, len(names), 10_000):
                     cut = offsets[at : at + 10_001]
-                    checks = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
+                    held = ids[int(cut[0]) : int(cut[-1])]
+                    checks = [zlib.crc32(held[a:b].astype("<u4").tobytes()) for a, b in zip((cut[:-1] - cut[0]).tolist(), (cut[1:] - cut[0]).tolist())]
                     missing = np.arange(at, at + len(checks)) < p["nulls"]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.array(names[at : at + 10_000]), mask=missing), pa.array(p["base"] + cut[:-1]), pa.array(np.diff(cut)), pa.array(checks, pa.int64())],
