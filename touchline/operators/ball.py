@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from touchline.operators.folds import fold
+from touchline.operators.joins import dealt
 from touchline.operators.scans import FRAME_BUCKET, frame_bucket, last_seen, scan
 
 # fixed values: noise of position, velocity and measurement, and the variance at the first sight
@@ -63,7 +64,7 @@ def held_boxes(smoothed: DataFrame, balls: DataFrame, size: int = FRAME_BUCKET)
     """
     sides = ["x1", "y1", "x2", "y2"]
     box = F.when(F.col("ball_state") == DETECTED, F.struct(*sides))
-    joined = smoothed.join(balls.select("match_id", "frame_idx", *sides), ["match_id", "frame_idx"], "left")
+    joined = smoothed.join(dealt(balls.select("match_id", "frame_idx", *sides)), ["match_id", "frame_idx"], "left")
     seen = scan(joined, ["match_id"], frame_bucket(size=size), ["frame_idx"], {"_held": last_seen(box)})
     return seen.select(*smoothed.columns, *[F.when(F.col("ball_state") != LOST, F.col(f"_held.{c}")).alias(c) for c in sides])
 

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from touchline.functions import geometry as geo
+from touchline.operators.joins import dealt
 from touchline.operators.scans import FRAME_BUCKET, frame_bucket, last_seen, next_seen, scan
 
 # fixed values: pitch size in metres and the place of each keypoint
@@ -64,7 +65,7 @@ def acceptance(eligible: DataFrame, solves: DataFrame) -> DataFrame:
 
     ``solves``: match_id, frame_idx, cond, inliers, h (nine doubles).
     """
-    both = eligible.join(solves, FRAME, "left")
+    both = eligible.join(dealt(solves), FRAME, "left")
     found = F.col("eligible") & F.col("h").isNotNull()
     reason = (
         F.when(~F.col("eligible"), F.col("skip_reason"))
@@ -112,7 +113,7 @@ def fill_homographies(log: DataFrame, fps: Column | float, size: int = FRAME_BUC
 def reprojection(keypoints: DataFrame, log: DataFrame) -> DataFrame:
     """Pixel error of every used keypoint under the matrix of its frame."""
     solved = log.filter("solved").select(*FRAME, geo.inverse(F.col("h")).alias("_inv"))
-    joined = usable(keypoints).join(solved, FRAME)
+    joined = usable(keypoints).join(dealt(solved), FRAME)
     back = joined.withColumn("_p", geo.project(F.col("_inv"), F.col("wx"), F.col("wy")))
     err = F.hypot(F.col("px") - F.col("_p.x"), F.col("py") - F.col("_p.y"))
     return back.select(*FRAME, "idx", "px", "py", F.col("_p.x").alias("reproj_x"), F.col("_p.y").alias("reproj_y"), err.alias("error_px"))

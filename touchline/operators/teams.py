@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.functions import colours as col, geometry as geo
+from touchline.operators.joins import dealt
 from touchline.operators.scans import number_rows, previous, running_sum, scan
+from touchline.session import durable
 
 # fixed values: channel, bins, upper end of the range
 HUE_SAT = [("hue", 64, 180), ("sat", 32, 256)]
@@ -59,7 +61,7 @@ def mean_histogram(shares: DataFrame, clusters: DataFrame, key: list[str] = CROP
     ``clusters`` gives ``cluster`` per crop.
     """
     sizes = clusters.groupBy("match_id", "cluster").agg(F.count("*").alias("crops"))
-    sums = shares.join(clusters, key).groupBy("match_id", "cluster", "channel", "bin").agg(F.sum("share").alias("total"))
+    sums = shares.join(dealt(clusters), key).groupBy("match_id", "cluster", "channel", "bin").agg(F.sum("share").alias("total"))
     return sums.join(sizes, ["match_id", "cluster"]).select(
         "match_id", "cluster", "channel", "bin", (F.col("total") / F.col("crops")).alias("share")
     )
@@ -95,6 +97,8 @@ def goalkeepers(players: DataFrame, references: DataFrame, max_dist: Column | fl
     refs = references.select(
         "match_id", col.text_vector(F.col("team_a_gk_colour")).alias("r0"), col.text_vector(F.col("team_b_gk_colour")).alias("r1")
     ).filter("r0 IS NOT NULL AND r1 IS NOT NULL")
+    # written, so that their size is known and the players are not taken for the smaller side
+    refs = durable(refs, "references")
     vec = F.struct(F.col("ca").alias("a"), F.col("cb").alias("b"), F.col("cv").alias("v"))
     seen = players.filter(F.col("ca").isNotNull()).join(refs, "match_id")
     dist = {f"d{t}": col.colour_distance(vec, F.col(f"r{t}")) for t in (0, 1)}

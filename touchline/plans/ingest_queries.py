@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from touchline.operators import ingest
+from touchline.operators.joins import dealt
 from touchline.plans.registry import query
 from touchline.plans.scalar_queries import NORMAL
 from touchline.sources import logs, writers
@@ -80,7 +81,7 @@ SELECT event_id, status, CASE WHEN content_type NOT IN ('video/mp4', 'applicatio
     "coalesce(team_a_gk_colour, ' ') AS team_a_gk_colour, ", ""))
 def b12(fx):
     """Accepted and rejected uploads, first failure wins."""
-    r = fx.requests.join(fx.ev.select("event_id", "k"), "event_id")
+    r = fx.requests.join(dealt(fx.ev.select("event_id", "k")), "event_id")
     even = F.col("k") % 2 == 0
     filled = r.withColumns({"team_a_name": F.when(even, "A").otherwise(F.col("team_a_name")), "team_b_name": F.when(even, "B").otherwise(F.col("team_b_name")),
                             "team_a_colour": F.coalesce("team_a_colour", F.lit("red")), "team_b_colour": F.coalesce("team_b_colour", F.lit("blue")),

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from touchline.functions import counters as cnt
 from touchline.operators.scans import FRAME_BUCKET
 from touchline.operators import ball, carrier, detections as det, passes as ps, rulesets as rs
+from touchline.operators.joins import dealt
 from touchline.plans import pass_queries as pq
 from touchline.plans.registry import query
 from touchline.sources import writers
@@ -47,14 +48,15 @@ def chain(fx, size=FRAME_BUCKET, warmup=256, own_rules=False):
     """Raw minute rows of every match from detections, by one ruleset or by that of each match."""
     at = ["match_id", "frame_idx"]
     frames = fx.frames.select("match_id", "frame_idx", "half", "minute")
-    rules = rs.with_ruleset(fx.matches.select("match_id", "ruleset"), *NEEDED).select("match_id", *NEEDED)
+    if own_rules:
+        rules = durable(rs.with_ruleset(fx.matches.select("match_id", "ruleset"), *NEEDED).select("match_id", *NEEDED), "rules")
 
     def ruled(df, *names):
         if own_rules:
             return df.join(rules.select("match_id", *names), "match_id")
         return df.withColumns({c: F.lit(RULES[c]) for c in names})
 
-    seen = ruled(frames.select(*at).join(det.best_ball(fx.balls), at, "left"), *NEEDED[:2])
+    seen = ruled(frames.select(*at).join(dealt(det.best_ball(fx.balls)), at, "left"), *NEEDED[:2])
     seen = seen.withColumnsRenamed({"kalman_coast_frames": "coast", "kalman_gate_sigma": "sigma"})
     smooth = ball.smooth_ball(seen, size, warmup).filter("ball_state <> 'lost'")
     spot = smooth.select(*at, F.col("bx").alias("cx"), F.col("by").alias("cy"))
@@ -62,7 +64,7 @@ def chain(fx, size=FRAME_BUCKET, warmup=256, own_rules=False):
     most = max(rs.get_ruleset(name)["carrier_hysteresis_n"] for name in rs.RULESETS)
     held = carrier.commit_carrier(ruled(raw, "carrier_hysteresis_n"), F.col("carrier_hysteresis_n"), size, most)
     steps = ps.run_passes(ruled(held.drop("carrier_hysteresis_n"), *ps.PASS_INPUTS[3:]), size, warmup)
-    return ps.minute_rows(steps.join(frames, at))
+    return ps.minute_rows(steps.join(dealt(frames), at))
 
 
 def corrected(rows):

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from touchline.functions import counters as cnt
 from touchline.operators import ball, carrier, detections as det, passes as ps
+from touchline.operators.joins import dealt
 from touchline.plans.detection_queries import COMMIT, RULES, ruled
 from touchline.plans.registry import query
 
@@ -21,7 +22,7 @@ def steps(fx):
 
 
 def clip_steps(fx):
-    return steps(fx).join(fx.frames.select("match_id", "frame_idx", "half", "minute"), ["match_id", "frame_idx"])
+    return steps(fx).join(dealt(fx.frames.select("match_id", "frame_idx", "half", "minute")), ["match_id", "frame_idx"])
 
 
 # the same machine as one recursive query, with the counters of the running clip
@@ -173,7 +174,7 @@ FROM (SELECT *, coalesce(seen AND mx IS NOT NULL AND ((mx - x) * (mx - x) + (my
 def ball_frames(fx):
     rules = ruled(fx, fx.frames.select("match_id", "frame_idx"), "kalman_coast_frames", "kalman_gate_sigma")
     rules = rules.withColumnsRenamed({"kalman_coast_frames": "coast", "kalman_gate_sigma": "sigma"})
-    return rules.join(det.best_ball(fx.balls), ["match_id", "frame_idx"], "left")
+    return rules.join(dealt(det.best_ball(fx.balls)), ["match_id", "frame_idx"], "left")
 
 
 @query("i1_ball_filter", "WITH " + KALMAN + """SELECT match_id, f AS frame_idx, st AS ball_state, CASE WHEN st <> 'lost' THEN CAST(trunc(x) AS BIGINT) END AS bx, CASE WHEN st <> 'lost' THEN CAST(trunc(y) AS BIGINT) END AS by,

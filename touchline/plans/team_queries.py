@@ -4,6 +4,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from touchline.operators import teams as tm
+from touchline.operators.joins import dealt
 from touchline.operators.scans import frame_bucket, minute_bucket
 from touchline.plans.registry import query
 from touchline.plans.scalar_queries import rgb_sql
@@ -150,6 +151,6 @@ def f9(fx):
 @query("g2_fit_set", "SELECT match_id, frame_idx, track_id, minute FROM fx_crops JOIN fx_frames USING (match_id, frame_idx) WHERE half = 1 AND minute IN (1, 2)")
 def g2(fx):
     """Crops of the first clip together with those of the second."""
-    crops = fx.crops.select("match_id", "frame_idx", "track_id").join(fx.frames.select("match_id", "frame_idx", "half", "minute"), ["match_id", "frame_idx"])
+    crops = fx.crops.select("match_id", "frame_idx", "track_id").join(dealt(fx.frames.select("match_id", "frame_idx", "half", "minute")), ["match_id", "frame_idx"])
     first, second = crops.filter("half = 1 AND minute = 1"), crops.filter("half = 1 AND minute = 2")
     return first.unionByName(second).select("match_id", "frame_idx", "track_id", "minute")

@@ -18,6 +18,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from touchline.functions.counters import COUNTERS, EVENT_KINDS, wire_key
 from touchline.operators import ingest
 from touchline.operators import minutes as mn
+from touchline.operators.joins import dealt
 from touchline.session import ROCKSDB, shared_dir
 from touchline.streaming.session_steps import new_session, run_clip
 
@@ -138,7 +139,7 @@ def clip_rows(frames: DataFrame, players: DataFrame, balls: DataFrame, extra: li
     at = ["match_id", "frame_idx"]
     box = F.struct("track_id", "team_id", "x1", "y1", "x2", "y2")
     team = players.groupBy(*at).agg(F.collect_list(box).alias("players"))
-    full = frames.join(balls.select(*at, "cx", "cy", "confidence"), at, "left").join(team, at, "left")
+    full = frames.join(dealt(balls.select(*at, "cx", "cy", "confidence")), at, "left").join(dealt(team), at, "left")
     frame = F.struct("frame_idx", "cx", "cy", "confidence", "players")
     clips = full.groupBy("match_id", "half", "minute").agg(F.to_json(F.sort_array(F.collect_list(frame))).alias("frames"),
                                                          *[F.first(c).alias(c) for c in extra])
