@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from touchline.operators import ball, carrier, export, passes
+from touchline.operators import ball, carrier, export, folds, passes
 from touchline.operators.rulesets import get_ruleset
 
 RULES = get_ruleset("futsal")
@@ -107,3 +107,22 @@ def test_area_growth(spark):
     got = [r.accepted for r in ball.plausible_boxes(df, F.lit(400.0)).orderBy("frame_idx").collect()]
     # 100 exceeds the share of the frame, 40 grows from 10 more than three times
     assert got == [True, True, False, True, True, False]
+
+
+def test_pieces_of_several_keys_in_one_partition(spark):
+    def count(state, _at, _row):
+        return (state[0] + 1,), (state[0] + 1,)
+
+    boxes = spark.createDataFrame([("m", t, f, 1.0) for t in (1, 2, 3) for f in range(40)], "match_id string, track_id bigint, frame_idx bigint, area double")
+    done = folds.fold(boxes, ["match_id", "track_id"], "frame_idx", ["area"], count, (0,), "n int", size=8, warmup=0)
+    assert {(r.track_id, r.frame_idx): r.n for r in done.collect()} == {(t, f): f + 1 for t in (1, 2, 3) for f in range(40)}
+
+
+def test_a_partition_is_streamed(spark, monkeypatch):
+    # one call for each piece cost more than its rows, and a call held its whole piece
+    def whole_groups(*_):
+        raise AssertionError("a group is handed over whole")
+
+    monkeypatch.setattr("pyspark.sql.group.GroupedData.applyInPandas", whole_groups)
+    boxes = spark.createDataFrame([("m", 1, f, 0, 0, 9, 9) for f in range(30)], "match_id string, track_id bigint, frame_idx bigint, x1 int, y1 int, x2 int, y2 int")
+    assert ball.plausible_boxes(boxes, F.lit(1000.0), 8).filter("accepted").count() == 30

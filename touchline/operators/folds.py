@@ -11,7 +11,7 @@ are folded again, until all agree, so the result equals the one serial fold.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -57,38 +57,36 @@ def fold(
     tail = F.pmod(F.col(order), F.lit(size)) >= F.lit(size - warmup)
     cut = df.select(*keys, order, *inputs, piece.alias("_home"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        bucket = int(pdf["_bucket"].iloc[0])
-        given = pdf["_given"].iloc[0]
-        state = start if given is None else tuple(json.loads(given))
-        entry = None if given is None else given
-        rows = _tuples(pdf, inputs, whole)
-        kept_order, kept = [], []
-        for home, at, row in zip(pdf["_home"].tolist(), pdf[order].tolist(), rows):
-            own = home == bucket
-            if own and entry is None:
-                entry = json.dumps(state)
-            state, result = step(state, at, row)
-            if own:
-                kept_order.append(at)
-                kept.append(result)
-        if not kept:
-            return pd.DataFrame({n: pd.Series([], dtype=object) for n in names})
-        out = pd.DataFrame(kept, columns=result_names, dtype=object)
-        out[order] = kept_order
-        out["_bucket"] = bucket
-        for k in keys:
-            out[k] = pdf[k].iloc[0]
-        edge = {n: None for n in names}
-        edge.update({k: pdf[k].iloc[0] for k in keys})
-        edge.update({"_bucket": bucket, "_entry": entry, "_exit": json.dumps(state)})
-        out["_entry"] = None
-        out["_exit"] = None
-        return pd.concat([out[names], pd.DataFrame([edge], columns=names).astype(object)], ignore_index=True)
+    piece_key, width, no_result = [*keys, "_bucket"], len(keys), (None,) * len(result_names)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Folds the sorted pieces of a partition one after another; holds a batch of rows and one state."""
+        piece = state = entry = None
+
+        def edge() -> list[tuple]:
+            return [] if entry is None else [(*piece, None, *no_result, entry, json.dumps(state))]
+
+        for pdf in batches:
+            out = []
+            places = zip(pdf["_home"].tolist(), pdf[order].tolist(), pdf["_given"].tolist())
+            for now, (home, at, given), row in zip(_tuples(pdf, piece_key, whole), places, _tuples(pdf, inputs, whole)):
+                if now != piece:
+                    out += edge()
+                    piece, entry = now, given
+                    state = start if given is None else tuple(json.loads(given))
+                own = home == now[width]
+                if own and entry is None:
+                    entry = json.dumps(state)
+                state, result = step(state, at, row)
+                if own:
+                    out.append((*now, at, *result, None, None))
+            yield pd.DataFrame(out, columns=names, dtype=object)
+        if piece is not None:
+            yield pd.DataFrame(edge(), columns=names, dtype=object)
 
     def folded(rows: DataFrame) -> DataFrame:
-        return rows.groupBy(*keys, "_bucket").applyInPandas(run, schema)
+        # pieces share a Python call: one call for each would cost more than its rows
+        return rows.repartition(*piece_key).sortWithinPartitions(*piece_key, order).mapInPandas(run, schema)
 
     first = cut.withColumn(
         "_bucket", F.explode(F.when(tail, F.array(F.col("_home"), F.col("_home") + 1)).otherwise(F.array("_home")))
@@ -101,7 +99,7 @@ def fold(
     rows, edges = stored(folded(first))
     by_group = Window.partitionBy(*keys).orderBy("_bucket")
     given = F.coalesce(F.lag("_exit").over(by_group), F.lit(json.dumps(start)))
-    piece_key, rounds, source = [*keys, "_bucket"], 0, None
+    rounds, source = 0, None
     while True:
         checked = edges.select(*piece_key, "_entry", given.alias("_given"))
         wrong = checked.filter(F.col("_entry") != F.col("_given")).select(*piece_key, "_given")
