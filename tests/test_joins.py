@@ -4,6 +4,7 @@ import re
 
 import pytest
 
+from touchline.operators import teams
 from touchline.plans import fixtures
 from touchline.plans.catalogue import QUERIES
 
@@ -33,3 +34,15 @@ def test_balls_without_a_join_are_those_of_the_table(spark):
     assert own.schema == text.schema
     assert "Join" not in own._jdf.queryExecution().optimizedPlan().toString()
     assert own.exceptAll(text).isEmpty() and text.exceptAll(own).isEmpty() and own.count() > 0
+
+
+def test_pixels_are_shuffled_once(spark):
+    fx = fixtures.Fixtures(spark, SF)
+    text = teams.histogram(fx.pixels)._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange hashpartitioning") == 1
+
+
+def test_features_are_written_before_the_fit(spark):
+    rows = spark.createDataFrame([(i, [float(i % 3), float(i % 5), 1.0]) for i in range(30)], "id int, features array<double>")
+    done, _ = teams.principal_components(rows, ["id"])
+    assert "FileScan parquet" in done._jdf.queryExecution().executedPlan().toString()

@@ -29,11 +29,10 @@ def histogram(pixels: DataFrame, key: list[str] = CROP, bins=HUE_SAT) -> DataFra
 
     All channels together sum to 1. Empty bins have no row.
     """
-    slots = [
-        F.struct(F.lit(name).alias("channel"), F.floor(F.col(name) * n / F.lit(top)).cast("int").alias("bin"))
-        for name, n, top in bins
-    ]
-    counts = pixels.select(*key, F.explode(F.array(*slots)).alias("s")).groupBy(*key, "s.channel", "s.bin").agg(F.count("*").alias("n"))
+    # dealt once by crop: counting, the sum of a crop and joins by crop then need no further shuffle
+    placed = pixels.select(*key, *[F.floor(F.col(name) * n / F.lit(top)).cast("int").alias(name) for name, n, top in bins]).repartition(*key)
+    slots = [F.struct(F.lit(name).alias("channel"), F.col(name).alias("bin")) for name, _, _ in bins]
+    counts = placed.select(*key, F.explode(F.array(*slots)).alias("s")).groupBy(*key, "s.channel", "s.bin").agg(F.count("*").alias("n"))
     whole = F.sum("n").over(Window.partitionBy(*key))
     return counts.select(*key, "channel", "bin", (F.col("n") / whole).alias("share"))
 
@@ -253,6 +252,7 @@ def fit_decisions(fits: DataFrame, bucket: Column, order: list[str]) -> DataFram
 
 def principal_components(features: DataFrame, key: list[str], k: int = 2, column: str = "features") -> tuple[DataFrame, list[float]]:
     """Rows projected on ``k`` components, and the variance each explains."""
-    rows = features.withColumn("_vec", array_to_vector(F.col(column).cast("array<double>")))
+    # the fit reads its rows several times, the projection once more
+    rows = durable(features, "features").withColumn("_vec", array_to_vector(F.col(column).cast("array<double>")))
     model = PCA(k=k, inputCol="_vec", outputCol="components").fit(rows)
     return model.transform(rows).select(*key, "components"), list(model.explainedVariance)
