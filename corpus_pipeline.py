@@ -21,7 +21,7 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of texts that share most of their shingles."""
+    """One document of each component of texts that share most of their shingles, by fingerprints and bands."""
     return similar.drop_similar(docs)
 
 

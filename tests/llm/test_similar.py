@@ -1,9 +1,12 @@
 """The near-duplicate stage of the pipeline against a comparison of all pairs."""
 
 import random
+import sys
 
 import pytest
-from touchline.llm import similar
+from pyspark.sql import functions as F
+from touchline.llm import common, similar
+from touchline.llm.simhash import fingerprint
 
 
 def plain_kept(texts):
@@ -53,3 +56,25 @@ def test_near_copies_are_those_of_all_pairs(spark, monkeypatch, usual, block):
 def test_odd_rows(odd, empty):
     got = similar.drop_similar(odd)
     assert got.columns == odd.columns and got.count() == 8 and similar.drop_similar(empty).count() == 0
+
+
+def test_fingerprints_link_texts_that_share_no_band(spark):
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(5000)}" for _ in range(300)]
+    texts = [" ".join(base)] + [altered(base, rng, c) for c in (1, 1, 1, 2, 2, 4, 40)] + ["  ".join(base), "other words"]
+    rows = common.numbered(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1))
+    sets = similar._signatures(rows, similar.SHINGLE).withColumn("bands", F.array().cast("array<bigint>"))
+    of = {r[common.ROW]: r["text"].encode() for r in rows.collect()}
+    got = {(r["a"], r["b"]) for r in similar.links(sets.select(common.ROW, "fp", "bands", "sketch"), rows).collect()}
+    bits = lambda a, b: ((fingerprint(of[a], 5) ^ fingerprint(of[b], 5)) & (1 << 64) - 1).bit_count()
+    near = {(a, b) for a in of for b in of if a < b and bits(a, b) <= similar.BITS and similar.alike(*(similar.shingles(of[x]) for x in (a, b)))}
+    assert any(4 < bits(a, b) for a, b in near) and len({x for p in near for x in p}) > 4
+    copies = {(a, b) for a, b in near if bits(a, b) == 0}  # sets of one fingerprint meet their first only
+    firsts = {p for p in near if not any(b in p for _, b in copies)}
+    assert got == firsts | copies
+
+
+def test_a_step_lets_go_of_what_others_kept():
+    common.kept("a table", list)
+    common.forget()
+    assert not sys.__dict__["_kept_by_tasks"]

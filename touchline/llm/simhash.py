@@ -92,7 +92,7 @@ def _opened(key: np.ndarray, diff: np.ndarray) -> np.ndarray:
     return first == number
 
 
-def _forest(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _forest(fps: np.ndarray, most: int = MOST_BITS) -> tuple[np.ndarray, np.ndarray]:
     """Pairs that join all members of one variant that reach each other, one fewer than members."""
     left = np.arange(len(fps))
     a, b = [], []
@@ -102,7 +102,7 @@ def _forest(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             parent = np.full(len(left), -1)
             for at in range(0, len(front), 256):
                 part = front[at : at + 256]
-                near = _popcount(fps[left][None, :] ^ fps[part][:, None]) <= MOST_BITS
+                near = _popcount(fps[left][None, :] ^ fps[part][:, None]) <= most
                 hit = near.any(axis=0) & (parent < 0)
                 parent[hit] = part[near.argmax(axis=0)[hit]]
             got = parent >= 0
@@ -113,7 +113,7 @@ def _forest(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([none, *a]).astype(np.int64), np.concatenate([none, *b]).astype(np.int64)
 
 
-def _pairs(keys: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _pairs(keys: np.ndarray, fps: np.ndarray, most: int = MOST_BITS) -> tuple[np.ndarray, np.ndarray]:
     """Links within runs of equal keys. Small runs give each pair once over all keys, large ones a forest."""
     fps = fps.view(np.uint64)
     starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
@@ -125,25 +125,25 @@ def _pairs(keys: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(i):
             break
         diff = fps[i] ^ fps[i + step]
-        i, diff = (x[_popcount(diff) <= MOST_BITS] for x in (i, diff))
+        i, diff = (x[_popcount(diff) <= most] for x in (i, diff))
         i = i[_opened(keys[i], diff)]
         out_a.append(fps[i])
         out_b.append(fps[i + step])
     for s, n in zip(starts[sizes > 32], sizes[sizes > 32]):
         run = fps[s : s + n]
-        a, b = _forest(run)
+        a, b = _forest(run, most)
         out_a.append(run[a])
         out_b.append(run[b])
     none = np.zeros(0, np.uint64)
     return np.concatenate([none, *out_a]).view(np.int64), np.concatenate([none, *out_b]).view(np.int64)
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _verify(batches: Iterator[pa.RecordBatch], most: int = MOST_BITS) -> Iterator[pa.RecordBatch]:
     """Links of a partition sorted by key; a run that a batch cuts waits for the next batch."""
     rest_k, rest_f = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def links(k: np.ndarray, f: np.ndarray) -> pa.RecordBatch:
-        a, b = _pairs(k, f)
+        a, b = _pairs(k, f, most)
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     for batch in batches:
@@ -157,8 +157,8 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield links(rest_k, rest_f)
 
 
-def links(fps: DataFrame) -> DataFrame:
-    """Pairs (a, b) of distinct fingerprints that differ in few bits and join all that reach each other.
+def links(fps: DataFrame, most: int = MOST_BITS) -> DataFrame:
+    """Pairs (a, b) of distinct fingerprints that differ in ``most`` bits at most (5 with these segments) and join all that reach each other.
 
     ``fps`` is a table of distinct ``fp``. A variant with more than ``BLOCK`` members is cut into blocks, and
     each pair of blocks is compared on its own, so no group grows beyond two blocks and no link is lost.
@@ -169,7 +169,7 @@ def links(fps: DataFrame) -> DataFrame:
     hot = durable(hot, "hot")
     usual = index.join(hot, "key", "left_anti").repartition("key").sortWithinPartitions("key")
     schema = "a long, b long"
-    found = usual.mapInArrow(_verify, schema)
+    found = usual.mapInArrow(partial(_verify, most=most), schema)
     if not hot.isEmpty():
         block = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
         cells = (
@@ -180,11 +180,11 @@ def links(fps: DataFrame) -> DataFrame:
             .withColumn("y", F.greatest("block", "other"))
         )
         cells = cells.select(F.xxhash64("key", "x", "y").alias("key"), "fp").repartition("key").sortWithinPartitions("key")
-        found = found.unionByName(cells.mapInArrow(_verify_cells, schema))
+        found = found.unionByName(cells.mapInArrow(partial(_verify_cells, most=most), schema))
     return found
 
 
-def _verify_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _verify_cells(batches: Iterator[pa.RecordBatch], most: int = MOST_BITS) -> Iterator[pa.RecordBatch]:
     """As ``_verify`` for pairs of blocks, whose links are always given as a forest."""
     rest_k, rest_f = np.zeros(0, np.int64), np.zeros(0, np.int64)
     for batch in _ended(batches):
@@ -195,7 +195,7 @@ def _verify_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         starts = np.flatnonzero(np.r_[True, rest_k[1:cut] != rest_k[: cut - 1]]) if cut else np.zeros(0, np.int64)
         for s, e in zip(starts, np.r_[starts[1:], cut]):
             run = rest_f[s:e].view(np.uint64)
-            a, b = _forest(run)
+            a, b = _forest(run, most)
             yield pa.RecordBatch.from_arrays([pa.array(run[a].view(np.int64)), pa.array(run[b].view(np.int64))], names=["a", "b"])
         rest_k, rest_f = rest_k[cut:], rest_f[cut:]
 

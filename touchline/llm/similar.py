@@ -1,4 +1,5 @@
-"""Near copies by the share of word shingles in common: MinHash bands find pairs, each pair is verified exactly."""
+"""Near copies by the share of word shingles in common: SimHash fingerprints link most, MinHash bands find the pairs
+whose fingerprints differ too much, and each pair is verified exactly."""
 
 from __future__ import annotations
 
@@ -11,12 +12,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from touchline.llm.common import ROW, byte_texts, numbered, skew_join, spread_lookup
+from touchline.llm import simhash
+from touchline.llm.common import ROW, byte_texts, forget, numbered, skew_join, slices, spread_lookup
 from touchline.llm.components import connected
+from touchline.llm.simhash import fingerprint
 from touchline.session import durable
 
 SHINGLE = 5
 SIMILARITY = 0.8
+#: differing bits of linked fingerprints; of so many at most one falls in some segment
+BITS = 5
 #: bands and hashes in each; a pair of the least similarity shares no band with a chance of (1 - 0.8^5)^25, about 5e-5
 BANDS, WIDE = 25, 5
 #: equal hashes of all that a pair must have to be verified; a pair of the least similarity has fewer with a chance of 1e-6
@@ -26,6 +31,8 @@ USUAL = 16
 #: members of one side of a cell
 BLOCK = 512
 _CHUNK = 1 << 13
+#: bytes of texts that a task holds as Python values
+_PART = 1 << 22
 
 
 def shingles(text: bytes, shingle: int = SHINGLE) -> set[bytes]:
@@ -45,27 +52,29 @@ def alike(a: set[bytes], b: set[bytes], least: float = SIMILARITY) -> bool:
 
 
 def _signatures(rows: DataFrame, shingle: int) -> DataFrame:
-    """``rows`` with the digest of the shingle set, its bands and a byte of each hash in place of the text."""
-    schema = rows.drop("text").schema.add("key", "binary").add("bands", ArrayType(LongType())).add("sketch", "binary")
+    """``rows`` with the digest of the shingle set, its fingerprint, bands and a byte of each hash in place of the text."""
+    schema = rows.drop("text").schema.add("key", "binary").add("fp", "long").add("bands", ArrayType(LongType())).add("sketch", "binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rng = np.random.default_rng(11)
         times, plus = rng.integers(0, 1 << 64, (2, BANDS * WIDE, 1), dtype=np.uint64)
         times |= np.uint64(1)
-        for batch in batches:
-            keys, bands, sketches = [], [], []
+        forget()
+        for batch in (part for whole in batches for part in slices(whole, "text", _PART)):
+            keys, fps, bands, sketches = [], [], [], []
             for text in byte_texts(batch.column("text")):
                 parts = shingles(text, shingle)
                 hashes = np.sort(np.fromiter(map(xxhash.xxh64_intdigest, parts), np.uint64, len(parts)))
                 keys.append(xxhash.xxh3_128_digest(hashes.tobytes()))
+                fps.append(fingerprint(text, shingle))
                 least = np.full(BANDS * WIDE, np.iinfo(np.uint64).max)
                 for at in range(0, len(hashes), _CHUNK):
                     least = np.minimum(least, (hashes[at : at + _CHUNK] * times + plus).min(axis=1))
                 bands.append([xxhash.xxh64_intdigest(band.tobytes(), i) - (1 << 63) for i, band in enumerate(least.reshape(BANDS, WIDE))] if len(hashes) else [])
                 sketches.append((least >> np.uint64(32)).astype(np.uint8).tobytes())
             rest = [n for n in batch.schema.names if n != "text"]
-            found = [pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in rest), *found], names=[*rest, "key", "bands", "sketch"])
+            found = [pa.array(keys, pa.binary()), pa.array(fps, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in rest), *found], names=[*rest, "key", "fp", "bands", "sketch"])
 
     return rows.mapInArrow(run, schema)
 
@@ -96,7 +105,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, shingle: int,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, set()
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "_a", _PART)):
             keep = []
             columns = (batch.column("a").to_pylist(), byte_texts(batch.column("_a")), byte_texts(batch.column("_b")))
             for i, (a, left, right) in enumerate(zip(*columns)):
@@ -174,18 +183,29 @@ def _compared(batches: Iterator[pa.RecordBatch], shingle: int, least: float, exa
             yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in said], t) for k, t in enumerate(kinds)], names=names[:5])
 
 
+def _by_fingerprint(sets: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
+    """Verified pairs (a, b) of the first sets of fingerprints that differ in few bits, and of each set with the first of its own."""
+    firsts = durable(sets.groupBy("fp").agg(F.min(ROW).alias("a")), "fingerprints")
+    same = spread_lookup(sets.select("fp", ROW), ["fp"], firsts, ROW).where(F.col(ROW) != F.col("a")).select("a", F.col(ROW).alias("b"))  # the first is the least row
+    met = simhash.links(firsts.select("fp"), BITS).select(F.col("a").alias("fp"), F.col("b").alias("_fp"))
+    met = met.join(firsts, "fp").join(firsts.select(F.col("fp").alias("_fp"), F.col("a").alias("b")), "_fp")
+    return _verified(same.unionByName(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct(), sets, texts, shingle, least)
+
+
 def links(sets: DataFrame, texts: DataFrame, shingle: int = SHINGLE, least: float = SIMILARITY) -> DataFrame:
-    """Verified pairs (a, b) of ``sets`` (ROW, bands, sketch) that join all that share bands and reach each other.
+    """Verified pairs (a, b) of ``sets`` (ROW, fp, bands, sketch) that join all that share bands and reach each other.
 
-    A band of few members gives all its pairs. Members of larger ones are first compared with one hub each, the member of all
+    Fingerprints link what they can; bands then give the other pairs. A band of few members gives all its pairs. Members of larger ones are first compared with one hub each, the member of all
     their bands whose bands are the most common. Then the members of a band that are not in its largest
     component are compared with all others in cells of two blocks, which give at most one link per member.
     """
+    found = durable(_by_fingerprint(sets, texts, shingle, least), "linked")
     index = sets.select(ROW, F.explode("bands").alias("band"))
     sizes = durable(index.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "bands")
     usual = index.join(sizes.where(F.col("n") <= USUAL), "band").select("band", ROW)
     met = usual.join(usual.withColumnRenamed(ROW, "_other"), "band").where(F.col(ROW) < F.col("_other"))
-    found = durable(_verified(met.select(F.col(ROW).alias("a"), F.col("_other").alias("b")).distinct(), sets, texts, shingle, least), "links")
+    met = met.select(F.col(ROW).alias("a"), F.col("_other").alias("b")).distinct().join(found, ["a", "b"], "left_anti")
+    found = durable(found.unionByName(_verified(met, sets, texts, shingle, least)), "links")
     often = durable(sizes.where(F.col("n") > USUAL), "often")
     if often.isEmpty():
         return found
@@ -226,9 +246,9 @@ def drop_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
     rows = durable(_signatures(texts, shingle), "signatures")
     order = F.struct(F.col("doc_id").isNull().alias("missing"), F.col("doc_id").alias("id"), F.col(ROW).alias("row"))
     first = rows.groupBy("key").agg(F.min(order).alias("first"))
-    sets = first.join(rows.select(F.col(ROW).alias("_r"), "bands", "sketch"), F.col("first.row") == F.col("_r"))
-    sets = durable(sets.select("key", "first", F.col("_r").alias(ROW), "bands", "sketch"), "sets")
-    roots = connected(links(sets.select(ROW, "bands", "sketch"), texts.select(ROW, "text"), shingle, least)).withColumnRenamed("node", ROW)
+    sets = first.join(rows.select(F.col(ROW).alias("_r"), "fp", "bands", "sketch"), F.col("first.row") == F.col("_r"))
+    sets = durable(sets.select("key", "first", F.col("_r").alias(ROW), "fp", "bands", "sketch"), "sets")
+    roots = connected(links(sets.select(ROW, "fp", "bands", "sketch"), texts.select(ROW, "text"), shingle, least)).withColumnRenamed("node", ROW)
     placed = sets.select("first", ROW).join(roots, ROW, "left").withColumn("root", F.coalesce("root", ROW))
     kept = placed.groupBy("root").agg(F.min("first").alias("least")).select(F.col("least.row").alias("_kept"))
     return numbered(docs, "_number").join(kept, F.col("_number") == F.col("_kept"), "left_semi").select(*docs.columns)
