@@ -53,3 +53,9 @@ def test_large_side_is_shuffled_by_bucket(rows):
     plan = sc.scan(rows, ["g"], sc.frame_bucket("t", 16), ["t"], {"s": sc.running_sum(F.col("v"))})
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "_bucket" in text.split("hashpartitioning(g", 1)[1][:40]
+
+
+def test_events_share_buckets(spark):
+    """A scan keeps a row per bucket, so there must be far fewer buckets than rows."""
+    events = spark.read.parquet("/root/testdata/sf0.01/events.parquet").select(F.floor(F.col("user_id") / 12).alias("mno"), sc.time_bucket("ts").alias("bucket"))
+    assert events.distinct().count() * 4 < events.count()
