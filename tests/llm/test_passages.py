@@ -5,6 +5,7 @@ import hashlib
 import random
 
 import duckdb
+import pyarrow as pa
 import pytest
 
 from touchline.llm import passages
@@ -66,3 +67,22 @@ def test_long_text_in_parts(spark, monkeypatch):
     words = [f"w{rng.randrange(5000)}" for _ in range(1500)]
     rows = [(1, " ".join(words + words[200:300])), (2, " ".join(words[900:950])), (3, "short")]
     assert got(passages.remove_passages(spark.createDataFrame(rows, "doc_id long, text string"))) == collections.Counter(plain(rows))
+
+
+def test_windows_of_many_texts_are_handed_on_together():
+    """Texts of a batch are one run of words; their windows and neighbours stay within their own text."""
+    words, parts = [b"a b c d e f", b"c d e", b"b c d e"], [[(0, 2, False), (3, 1, False)], [(0, 1, False)], [(0, 2, True)]]
+    kind = pa.list_(pa.struct([("at", pa.int32()), ("n", pa.int32()), ("alike", pa.bool_())]))
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([7, 8, 9]), pa.array([1, None, 3], pa.int64()), pa.array(words), pa.array([[dict(zip(("at", "n", "alike"), p)) for p in ps] for ps in parts], kind)],
+        names=[passages.ROW, "doc_id", "words", "parts"],
+    )
+    (found,) = passages._window_rows([batch], 3)
+    rows = found.to_pylist()
+    assert [(r[passages.ROW], r["doc_id"], r["at"], r["n"]) for r in rows] == [(7, 1, 0, 1), (7, 1, 1, 1), (7, 1, 3, 1), (8, None, 0, 1), (9, 3, 0, 2)]
+    assert [(r["before"] != 0, r["after"] != 0) for r in rows] == [(False, True), (True, True), (True, False), (False, False), (False, False)]
+    assert rows[0]["d1"] == xxhash_of(b"a b c") and rows[3]["d1"] == xxhash_of(b"c d e") and rows[4]["d1"] == xxhash_of(b"b c d e")
+
+
+def xxhash_of(text):
+    return int.from_bytes(passages.xxhash.xxh3_128_digest(text)[:8], "little", signed=True)

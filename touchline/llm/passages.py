@@ -9,11 +9,12 @@ from itertools import repeat
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.common import ROW, byte_texts, numbered, ranges, skew_join
+from touchline.llm.common import ROW, byte_texts, numbered, ranges, skew_join, slices
 from touchline.llm.repeats import _BASE, _BYTE, _INVERSE, _mixed, _powers
 from touchline.session import durable
 
@@ -26,6 +27,8 @@ SHARD_WORDS = 400_000
 BLOCK_DOCS = 2_000
 #: words handled at once when anchors are looked for
 _PART = 1 << 17
+#: bytes of texts whose windows are handed on at once
+_TEXTS = 1 << 21
 
 
 def plain_words(raw: bytes) -> bytes:
@@ -135,22 +138,35 @@ def _window_rows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.
     Where all segments of an anchor are alike, its windows always occur together and are one row.
     """
     digest, word = xxhash.xxh3_128_digest, xxhash.xxh3_64_intdigest
-    for batch in batches:
-        for i, (row, text, parts) in enumerate(zip(batch.column(ROW).to_pylist(), batch.column("words").to_pylist(), batch.column("parts").to_pylist())):
-            words = text.split()
-            hashes = np.zeros(len(words) + 2, np.uint64)
-            hashes[1:-1] = np.fromiter(map(word, words), np.uint64, len(words)) | np.uint64(1)
-            ends = np.cumsum([len(w) + 1 for w in words]) - 1
-            starts = np.r_[0, ends[:-1] + 1]
-            first, n, alike = (np.array([p[k] for p in parts]) for k in ("at", "n", "alike"))
-            n, times = np.where(alike, n, 1), np.where(alike, 1, n)
-            at, n = ranges(first, times), np.repeat(n, times)
-            last = at + n + window - 2
-            sums = b"".join([digest(text[s:e]) for s, e in zip(starts[at].tolist(), ends[last].tolist())])
-            sums = np.frombuffer(sums, "<i8").reshape(-1, 2)
-            doc_id = batch.column("doc_id").take(pa.array(np.full(len(at), i)))
-            columns = [sums[:, 0].copy(), sums[:, 1].copy(), np.full(len(at), row), doc_id, at.astype(np.int32), n.astype(np.int32), hashes[at].view(np.int64), hashes[last + 2].view(np.int64)]
-            yield pa.RecordBatch.from_arrays([c if c is doc_id else pa.array(c) for c in columns], names=["d1", "d2", ROW, "doc_id", "at", "n", "before", "after"])
+    for batch in (part for whole in batches for part in slices(whole, "words", _TEXTS)):
+        texts, parts = batch.column("words").to_pylist(), batch.column("parts")
+        if not texts:
+            continue
+        # the texts of a part are one run of words, and base the place of each text's first word in it
+        data = b" ".join(texts)
+        spaces = np.flatnonzero(np.frombuffer(data, np.uint8) == 32)
+        starts, ends = np.r_[0, spaces + 1], np.r_[spaces, len(data)]
+        base = np.searchsorted(starts, np.cumsum([0, *(len(t) + 1 for t in texts)]))
+        flat = parts.flatten()
+        first, n = (flat.field(k).to_numpy().astype(np.int64) for k in ("at", "n"))
+        alike = flat.field("alike").to_numpy(zero_copy_only=False)
+        of = np.repeat(np.arange(len(texts)), pc.list_value_length(parts).to_numpy())
+        n, times = np.where(alike, n, 1), np.where(alike, 1, n)
+        at, n, of = ranges(first, times), np.repeat(n, times), np.repeat(of, times)
+        head = at + base[of]
+        last = head + n + window - 2
+        sums = b"".join([digest(data[s:e]) for s, e in zip(starts[head].tolist(), ends[last].tolist())])
+        sums = np.frombuffer(sums, "<i8").reshape(-1, 2)
+        has_before, has_after = at > 0, last + 1 < base[of + 1]
+        hashes = np.zeros(len(starts) + 1, np.uint64)
+        hashes[head[has_before] - 1] = hashes[last[has_after] + 1] = 1
+        asked = np.flatnonzero(hashes)
+        told = (word(data[s:e]) for s, e in zip(starts[asked].tolist(), ends[asked].tolist()))
+        hashes[asked] = np.fromiter(told, np.uint64, len(asked)) | np.uint64(1)
+        before, after = np.where(has_before, hashes[head - 1], 0), np.where(has_after, hashes[last + 1], 0)
+        taken = pa.array(of)
+        columns = [sums[:, 0].copy(), sums[:, 1].copy(), batch.column(ROW).take(taken), batch.column("doc_id").take(taken), at.astype(np.int32), n.astype(np.int32), before.astype(np.uint64).view(np.int64), after.astype(np.uint64).view(np.int64)]
+        yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=["d1", "d2", ROW, "doc_id", "at", "n", "before", "after"])
 
 
 def _chains(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
