@@ -3,8 +3,9 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
-from touchline.operators import teams
+from touchline.operators import scans, teams
 from touchline.plans import fixtures
 from touchline.plans.catalogue import QUERIES
 
@@ -46,3 +47,18 @@ def test_features_are_written_before_the_fit(spark):
     rows = spark.createDataFrame([(i, [float(i % 3), float(i % 5), 1.0]) for i in range(30)], "id int, features array<double>")
     done, _ = teams.principal_components(rows, ["id"])
     assert "FileScan parquet" in done._jdf.queryExecution().executedPlan().toString()
+
+
+def joins_run(df):
+    """Joins of the plan that ran."""
+    df.collect()
+    text = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    return re.findall(r"(\w+Join) \[", text)
+
+
+@pytest.mark.parametrize("name", ["b5_timestamps", "e4_track_gaps"])
+def test_bucket_summaries_are_dealt_by_key(spark, name):
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    mno = events.withColumn("mno", F.floor(F.col("user_id") / 12))
+    numbered = scans.number_rows(mno, ["mno"], scans.time_bucket("ts"), ["ts", "event_id"], "frame_idx")
+    assert joins_run(numbered if name == "b5_timestamps" else QUERIES[name](spark, SF)) == ["SortMergeJoin"]
