@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from touchline.operators import scans, teams
+from touchline.operators import scans, teams, tracks
 from touchline.plans import fixtures
 from touchline.plans.catalogue import QUERIES
 
@@ -62,3 +62,23 @@ def test_bucket_summaries_are_dealt_by_key(spark, name):
     mno = events.withColumn("mno", F.floor(F.col("user_id") / 12))
     numbered = scans.number_rows(mno, ["mno"], scans.time_bucket("ts"), ["ts", "event_id"], "frame_idx")
     assert joins_run(numbered if name == "b5_timestamps" else QUERIES[name](spark, SF)) == ["SortMergeJoin"]
+
+
+@pytest.mark.parametrize("name", ["g3_surviving_tracks", "i13_merged_gallery", "i17_minutes_batch"])
+def test_tracks_and_minutes_are_dealt_by_key(spark, name):
+    joins = joins_run(QUERIES[name](spark, SF))
+    assert joins and "BroadcastHashJoin" not in joins
+
+
+def test_rounds_of_merged_ids_are_dealt_by_key(spark, monkeypatch):
+    plans, durable = [], tracks.durable
+
+    def seen(df, *args):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return durable(df, *args)
+
+    monkeypatch.setattr(tracks, "durable", seen)
+    pairs = spark.createDataFrame([("m", 1, 2), ("m", 2, 3), ("m", 3, 4), ("n", 7, 9)], "match_id string, a long, b long")
+    got = {(r.match_id, r.track_id): r.keep_id for r in tracks.merge_ids(pairs).collect()}
+    assert got == {("m", 1): 1, ("m", 2): 1, ("m", 3): 1, ("m", 4): 1, ("n", 7): 7, ("n", 9): 7}
+    assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastHashJoin" in p for p in plans)

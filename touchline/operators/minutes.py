@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from touchline.functions import counters as cnt
+from touchline.operators.joins import dealt
 from touchline.operators.scans import minute_bucket, previous, running_sum, scan
 
 CLIP = ["match_id", "half", "minute"]
@@ -89,7 +90,7 @@ def apply_corrections(rows: DataFrame, corrections: DataFrame) -> DataFrame:
     At most one correction per minute row: (match_id, half, minute, kind, team_id, frames).
     """
     due = corrections.filter((F.col("frames") > 0) & F.col("kind").isin("flip_to", "drop"))
-    joined = rows.join(due.select(*CLIP, "kind", "team_id", F.col("frames").alias("_n")), CLIP, "left")
+    joined = rows.join(dealt(due.select(*CLIP, "kind", "team_id", F.col("frames").alias("_n"))), CLIP, "left")
     new = cnt.adjust(F.col("kind"), F.col("team_id"), F.col("_n"), *[F.col(f"frames_{x}") for x in ("team_a", "team_b", "oof")])
     return (
         joined.withColumn("_new", new)

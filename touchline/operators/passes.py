@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from touchline.functions import counters as cnt
 from touchline.operators import minutes as mn
 from touchline.operators.folds import fold
+from touchline.operators.joins import dealt
 from touchline.operators.scans import FRAME_BUCKET, frame_bucket, minute_bucket, previous, scan, running_sum
 from touchline.session import durable
 
@@ -305,8 +306,8 @@ def final_minutes(rows: DataFrame, clusters: DataFrame) -> DataFrame:
     ``clusters``: team_a_cluster_id per clip. A row is turned by its own orientation, a
     correction by the one its target was written under.
     """
-    raw = rows.select(*mn.CLIP, *cnt.COUNTERS).join(clusters.select(*mn.CLIP, "team_a_cluster_id"), mn.CLIP, "left")
+    raw = rows.select(*mn.CLIP, *cnt.COUNTERS).join(dealt(clusters.select(*mn.CLIP, "team_a_cluster_id")), mn.CLIP, "left")
     turned = mn.orient_rows(raw).drop("team_a_cluster_id").withColumn("revision", F.lit(0))
-    fixes = corrections(rows).join(clusters.select(*mn.CLIP, "team_a_cluster_id"), mn.CLIP, "left")
+    fixes = corrections(rows).join(dealt(clusters.select(*mn.CLIP, "team_a_cluster_id")), mn.CLIP, "left")
     fixes = mn.orient_teams(fixes, ["team_id"], "team_a_cluster_id")
     return mn.apply_corrections(turned, fixes)

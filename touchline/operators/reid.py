@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.operators.folds import fold
+from touchline.operators.joins import dealt
 from touchline.operators.scans import FRAME_BUCKET, following, frame_bucket, number_rows, scan
 from touchline.operators.tracks import EXPIRY_EVERY, GALLERY_SHOTS, SIM_HIGH, SIM_LOW, TRACK
 
@@ -172,7 +173,7 @@ def vote_counts(votes: DataFrame) -> DataFrame:
 
 def _kept(summary: DataFrame, merged: DataFrame) -> DataFrame:
     """Summary rows under their surviving id; ``merged`` has match_id, track_id, keep_id."""
-    return summary.join(merged, TRACK, "left").withColumn("track_id", F.coalesce("keep_id", "track_id")).drop("keep_id")
+    return summary.join(dealt(merged), TRACK, "left").withColumn("track_id", F.coalesce("keep_id", "track_id")).drop("keep_id")
 
 
 def merged_votes(counts: DataFrame, merged: DataFrame) -> DataFrame:
