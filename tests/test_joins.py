@@ -82,3 +82,13 @@ def test_rounds_of_merged_ids_are_dealt_by_key(spark, monkeypatch):
     got = {(r.match_id, r.track_id): r.keep_id for r in tracks.merge_ids(pairs).collect()}
     assert got == {("m", 1): 1, ("m", 2): 1, ("m", 3): 1, ("m", 4): 1, ("n", 7): 7, ("n", 9): 7}
     assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastHashJoin" in p for p in plans)
+
+
+def test_new_detections_deal_each_box_once(spark):
+    text = QUERIES["c10_new_detections"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange hashpartitioning") == 2 and "Generate explode(sequence" not in text.split("SortMergeJoin")[0]
+    boxes = "match_id string, frame_idx long, det_id long, x1 long, y1 long, x2 long, y2 long"
+    found = spark.createDataFrame([("m", 0, 1, 0, 0, 10, 10), ("m", 0, 1, 500, 500, 510, 510), ("m", 0, 2, 90, 90, 99, 99), ("m", 0, 2, 90, 90, 99, 99), ("m", 1, 3, 0, 0, 10, 10)], boxes)
+    known = spark.createDataFrame([("m", 0, 7, 0, 0, 10, 9), ("m", 0, 8, 95, 95, 300, 300)], boxes)
+    got = [(r.frame_idx, r.det_id, r.x1, r.best_iou > 0) for r in tracks.new_detections(found, known).collect()]
+    assert sorted(got) == [(0, 2, 90, True), (0, 2, 90, True), (1, 3, 0, False)]
