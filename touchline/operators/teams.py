@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector
@@ -132,15 +133,32 @@ def resolve_clusters(cluster_colours: DataFrame, matches: DataFrame) -> DataFram
     )
 
 
+def smallest(rows: DataFrame, keys: list[str], by: str, n: int) -> DataFrame:
+    """``rows`` without those that have ``n`` smaller values of ``by`` beside them in one Arrow batch, of the same ``keys``.
+
+    All of the ``n`` smallest of every group stay, with those equal to the last, so a rank filter that follows sorts few rows.
+    """
+
+    def keep(batches):
+        for batch in batches:
+            at = batch.select([*keys, by]).to_pandas()
+            rank = at.groupby(keys, dropna=False)[by].rank(method="min")
+            yield batch.filter(pa.array((rank <= n).to_numpy()))
+
+    return rows.mapInArrow(keep, rows.schema)
+
+
 def sample_per_cluster(crops: DataFrame, n: int = CROPS_PER_CLUSTER, seed: int = SAMPLE_SEED) -> DataFrame:
     """At most ``n`` crops per (match, cluster), those with the smallest md5 of the seed and their own key.
 
-    The rank filter is applied before the shuffle as well, so a large cluster sends
-    ``n`` rows per task.
+    Every batch of rows drops those that cannot be among them by the first 60 bits, so no task sorts the crops it reads;
+    a large cluster sends ``n`` rows per task.
     """
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in CROP]))
+    first = crops.withColumn("_first", F.conv(F.substring(key, 1, 15), 16, 10).cast("long"))
     w = Window.partitionBy("match_id", "cluster").orderBy(key, *CROP)
-    return crops.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= n).drop("_rank")
+    ranked = smallest(first, ["match_id", "cluster"], "_first", n).withColumn("_rank", F.row_number().over(w))
+    return ranked.filter(F.col("_rank") <= n).drop("_rank", "_first")
 
 
 def evenly_spaced(rows: DataFrame, keys: list[str], bucket: Column, order: list[str], n: int) -> DataFrame:
