@@ -2,6 +2,7 @@
 
 import json
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from touchline.functions.counters import COUNTERS
@@ -114,3 +115,80 @@ def test_reset_keeps_minutes_beyond_the_last_clip():
     out = run_clip(body, clip(1, 5, wanted_generation=2), RULES)["body"]
     assert sum(v for c, v in out.items() if c.startswith("frames_")) == 10
     assert [m["minute"] for m in body["minutes"]] == [4, 5]
+
+
+class Kept:
+    """A value and a map of the state, counting how often whole maps are read and texts put in."""
+
+    def __init__(self):
+        self.value, self.map, self.read, self.put = None, {}, 0, 0
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def containsKey(self, key):
+        return key in self.map
+
+    def getValue(self, key):
+        return self.map[key]
+
+    def updateValue(self, key, value):
+        self.put += 1
+        self.map[key] = value
+
+    def removeKey(self, key):
+        del self.map[key]
+
+    def keys(self):
+        return iter(self.map)
+
+    def iterator(self):
+        self.read += 1
+        return iter(list(self.map.items()))
+
+
+class Clock:
+    def __init__(self, now):
+        self.now = now
+
+    def getCurrentProcessingTimeInMs(self):
+        return self.now
+
+    def registerTimer(self, at):
+        pass
+
+
+def arrive(session, now, *places):
+    rows = [("m", h, m, 1, None, json.dumps(clip(h, m)["frames"])) for h, m in places]
+    part = pd.DataFrame(rows, columns=[f.split()[0] for f in live.CLIP.split(", ")])
+    return [(r.half, r.minute, r.gap) for out in session.handleInputRows(("m",), iter([part]), Clock(now)) for r in out.itertuples()]
+
+
+def sessions():
+    made = live.MatchSessions(RULES)
+    made.handle, made.session, made.waiting, made.done = Clock(0), Kept(), Kept(), Kept()
+    return made
+
+
+def test_clips_that_wait_are_read_once():
+    s = sessions()
+    assert arrive(s, 0, (1, 1), (1, 2), (1, 4), (1, 5)) == [(1, 1, False), (1, 2, False)]
+    assert arrive(s, 1, (1, 6), (1, 4)) == []
+    assert s.waiting.put == 3 and s.waiting.read == 1
+    assert arrive(s, 2, (1, 3), (1, 2)) == [(1, m, False) for m in (3, 4, 5, 6)]
+    assert s.waiting.put == 3 and s.waiting.read == 1 and not s.waiting.map
+    assert arrive(s, 3, (1, 9)) == [] and [len(out) for out in s.handleExpiredTimer(("m",), Clock(40000), None)] == [1]
+
+
+def test_clips_that_wait_outlive_their_session():
+    for forget in (lambda s: setattr(s.session, "value", None), lambda s: s.session.update((json.dumps({k: v for k, v in json.loads(s.session.get()[0]).items() if k != "waiting"}),))):
+        s = sessions()
+        assert arrive(s, 0, (1, 2)) == []
+        forget(s)
+        assert arrive(s, 1, (1, 2), (1, 1)) == [(1, 1, False), (1, 2, False)]

@@ -99,17 +99,19 @@ def i17_own_rules(fx):
 def stream(fx, files=3, per_batch=2, replay=False, extra=()):
     """Clips written in scrambled order within their half, run through the live query; its output folder.
 
-    Minute 1 of the next half always counts as expected, so the halves arrive one after the other.
+    Minute 1 of the next half always counts as expected, so the halves arrive one after the other. A half has ``files`` files
+    at least and more as the table of clips does; a batch takes ``per_batch`` of ``files`` parts of them.
     """
     clips = live.clip_rows(fx.frames.withColumns(dict(extra)), fx.players, det.best_ball(fx.balls), [c for c, _ in extra])
     source, target = writers.scratch(fx.spark, "clips"), writers.scratch(fx.spark, "live")
     clips = durable(clips)
+    dealt_over = max(files, len(clips.inputFiles()))
     for half in (1, 2):
         arrived = clips.filter(F.col("half") == half)
         if replay:
             arrived = arrived.unionByName(arrived.filter("minute % 2 = 0"))
-        arrived.repartition(files, F.xxhash64("match_id", "half", "minute")).write.mode("append").parquet(source)
-    arriving = fx.spark.readStream.schema(live.CLIP).option("maxFilesPerTrigger", per_batch).parquet(source)
+        arrived.repartition(dealt_over, F.xxhash64("match_id", "half", "minute")).write.mode("append").parquet(source)
+    arriving = fx.spark.readStream.schema(live.CLIP).option("maxFilesPerTrigger", -(-dealt_over * per_batch // files)).parquet(source)
     live.run_live(arriving, RULES, target).awaitTermination()
     return target
 

@@ -1,7 +1,7 @@
 """Live matches: a stream of clips becomes minute rows, corrections, events and deliveries.
 
 One row per clip arrives, in any order and possibly more than once. The state of a
-match is one session plus the clips that wait for their turn.
+match is one session, which lists the places that wait, plus the clips that wait for their turn.
 """
 
 from __future__ import annotations
@@ -56,44 +56,58 @@ class MatchSessions(StatefulProcessor):
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentProcessingTimeInMs()
+        body, fresh = self._load() or self._begin(now), {}
+        held = {(h, m) for h, m, _ in body["waiting"]}
         for part in rows:
             for r in part.itertuples(index=False):
                 at = (int(r.half), int(r.minute))
-                if self.done.containsKey(at) or self.waiting.containsKey(at):
+                if at in held or at in fresh or self.done.containsKey(at):
                     continue
                 clip = {
                     "half": at[0],
                     "minute": at[1],
                     "wanted_generation": 1 if pd.isna(r.wanted_generation) else int(r.wanted_generation),
                     "team_a_cluster_id": None if pd.isna(r.team_a_cluster_id) else int(r.team_a_cluster_id),
-                    "frames": json.loads(r.frames),
                 }
-                self.waiting.updateValue(at, (json.dumps(clip), now))
+                # the frames stay text until the clip runs
+                fresh[at] = f'{json.dumps(clip)[:-1]}, "frames": {r.frames}}}'
+                body["waiting"].append([*at, now])
         self.handle.registerTimer(now + self.idle_ms)
-        yield self._advance(key, now, touched=True)
+        yield self._advance(key, now, body, fresh, touched=True)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         """Only input moves the time a session is forgotten; a timer that is early for that leaves no new one."""
         now = timerValues.getCurrentProcessingTimeInMs()
         body = self._load()
-        if any(True for _ in self.waiting.keys()):
-            yield self._advance(key, now)
+        waiting = self._held() if body is None else body["waiting"]
+        if waiting:
+            yield self._advance(key, now, body or self._begin(now), {})
             return
         if body and now - body["touched"] >= self.idle_ms:
-            kept = {k: body[k] for k in ("progress", "due", "generation", "minutes", "touched")}
+            kept = {k: body[k] for k in ("progress", "due", "generation", "minutes", "touched", "waiting")}
             self.session.update((json.dumps(new_session() | kept),))
         yield pd.DataFrame(columns=RESULT_NAMES)
 
     def _load(self) -> dict | None:
-        return json.loads(self.session.get()[0]) if self.session.exists() else None
+        if not self.session.exists():
+            return None
+        body = json.loads(self.session.get()[0])
+        return body if "waiting" in body else body | {"waiting": self._held()}
 
-    def _advance(self, key: Any, now: int, touched: bool = False) -> pd.DataFrame:
+    def _begin(self, now: int) -> dict:
+        return new_session() | {"due": [[1, 1]], "touched": now, "waiting": self._held()}
+
+    def _held(self) -> list:
+        """Places of the clips in the state, for a session that does not list them: reading them reads their texts too."""
+        return [[*k, v[1]] for k, v in self.waiting.iterator()]
+
+    def _advance(self, key: Any, now: int, body: dict, fresh: dict, touched: bool = False) -> pd.DataFrame:
         """Run every clip whose turn has come, and those that have waited long enough.
 
-        The session lists the places that are due next, which every clip that runs sets anew.
+        The session lists the places that are due next, which every clip that runs sets anew, and those that wait. Clips of
+        ``fresh`` go to the state only if they have to wait.
         """
-        body = self._load() or new_session() | {"due": [[1, 1]], "touched": now}
-        queue = sorted((tuple(k), v[1]) for k, v in self.waiting.iterator())
+        queue = sorted(((h, m), since) for h, m, since in body["waiting"])
         out = []
         while queue:
             ready = [q for q in queue if list(q[0]) in body["due"]]
@@ -102,12 +116,18 @@ class MatchSessions(StatefulProcessor):
                 break
             turn = (ready or late)[0]
             queue.remove(turn)
-            clip = json.loads(self.waiting.getValue(turn[0])[0])
-            out.append(self._run(key, body, clip, gap=not ready))
-            self.waiting.removeKey(turn[0])
+            if turn[0] in fresh:
+                text = fresh.pop(turn[0])
+            else:
+                text = self.waiting.getValue(turn[0])[0]
+                self.waiting.removeKey(turn[0])
+            out.append(self._run(key, body, json.loads(text), gap=not ready))
             self.done.updateValue(turn[0], (now,))
+        for at, text in fresh.items():
+            self.waiting.updateValue(at, (text, now))
         if touched:
             body["touched"] = now
+        body["waiting"] = [[*at, since] for at, since in queue]
         self.session.update((json.dumps(body),))
         if queue:
             self.handle.registerTimer(min(since for _, since in queue) + self.hold_ms)
