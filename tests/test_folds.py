@@ -126,3 +126,38 @@ def test_a_partition_is_streamed(spark, monkeypatch):
     monkeypatch.setattr("pyspark.sql.group.GroupedData.applyInPandas", whole_groups)
     boxes = spark.createDataFrame([("m", 1, f, 0, 0, 9, 9) for f in range(30)], "match_id string, track_id bigint, frame_idx bigint, x1 int, y1 int, x2 int, y2 int")
     assert ball.plausible_boxes(boxes, F.lit(1000.0), 8).filter("accepted").count() == 30
+
+
+def test_repaired_pieces_stay_whole(spark, monkeypatch):
+    """The join that finds wrong pieces is planned as a merge join and runs as a broadcast, which reads rows where their files are."""
+    real = folds.durable
+
+    def whole(df, name="table", *args):
+        table = real(df, name, *args)
+        if name == "fold" and args:
+            edges = table.filter("_edge").select("match_id", "_bucket")
+            assert edges.count() == edges.distinct().count()
+        return table
+
+    monkeypatch.setattr(folds, "durable", whole)
+    settings = {"autoBroadcastJoinThreshold": "-1", "adaptive.autoBroadcastJoinThreshold": "10k", "adaptive.coalescePartitions.enabled": "false"}
+    for name, value in settings.items():
+        spark.conf.set(f"spark.sql.{name}", value)
+    try:
+        test_passes_in_pieces(spark, 37, 0)
+    finally:
+        for name in settings:
+            spark.conf.unset(f"spark.sql.{name}")
+
+
+def test_rounds_of_a_long_chain(spark, monkeypatch):
+    """64 pieces that never enter with the right state: the rounds grow with the logarithm of the pieces."""
+    def count(state, _at, _row):
+        return (state[0] + 1,), (state[0] + 1,)
+
+    written, real = [], folds.durable
+    monkeypatch.setattr(folds, "durable", lambda df, *a: written.append(a) or real(df, *a))
+    boxes = spark.createDataFrame([("m", f, 1.0) for f in range(256) if not 40 <= f < 48], "match_id string, frame_idx long, area double")
+    done = folds.fold(boxes, ["match_id"], "frame_idx", ["area"], count, (0,), "n int", size=4, warmup=2)
+    assert {r.frame_idx: r.n for r in done.collect()} == {f: f + 1 if f < 40 else f - 7 for f in range(256) if not 40 <= f < 48}
+    assert sum(a[0] == "fold" for a in written) <= 3

@@ -5,7 +5,9 @@ row before. A group is cut into buckets; each bucket is folded in its own task.
 A bucket warms up on the last rows of the bucket before it, which nearly always
 brings it to the true state. The entry state it used is then checked against the
 state the bucket before really left. Only buckets that entered with another state
-are folded again, until all agree, so the result equals the one serial fold.
+are folded again, until all agree, so the result equals the one serial fold. A
+wrong bucket and those after it are folded as one run, up to where they agree again,
+and runs grow from round to round, so the rounds grow with the logarithm of the buckets.
 """
 
 from __future__ import annotations
@@ -13,16 +15,21 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from touchline.operators.scans import FRAME_BUCKET
 from touchline.session import durable
 
 Step = Callable[[tuple, int, tuple], tuple[tuple, tuple]]
 
+# a run holds so many times the pieces of a run of the round before
+RUN_GROWTH = 8
+
 
 def fold(
     df: DataFrame,
@@ -42,14 +49,13 @@ def fold(
     row gives one row (keys, order, output). States are flat tuples of JSON values.
     """
     results = T.StructType.fromDDL(output)
-    whole = {f.name for f in df.schema.fields if isinstance(f.dataType, T.IntegralType)}
     key_fields = [f for f in df.schema.fields if f.name in keys]
     schema = T.StructType(
         [*key_fields, T.StructField("_bucket", T.LongType()), T.StructField(order, T.LongType())]
         + results.fields
         + [T.StructField("_entry", T.StringType()), T.StructField("_exit", T.StringType())]
     )
-    names = schema.names
+    names, arrow = schema.names, to_arrow_schema(schema)
     result_names = results.names
 
     piece = F.floor(F.col(order) / F.lit(size)).cast("long")
@@ -57,40 +63,57 @@ def fold(
     tail = F.pmod(F.col(order), F.lit(size)) >= F.lit(size - warmup)
     cut = df.select(*keys, order, *inputs, piece.alias("_home"))
 
-    piece_key, width, no_result = [*keys, "_bucket"], len(keys), (None,) * len(result_names)
+    piece_key, width, no_result = [f.name for f in key_fields] + ["_bucket"], len(keys), (None,) * len(result_names)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Folds the sorted pieces of a partition one after another; holds a batch of rows and one state."""
         piece = state = entry = None
+        skip = False
 
         def edge() -> list[tuple]:
             return [] if entry is None else [(*piece, None, *no_result, entry, json.dumps(state))]
 
-        for pdf in batches:
+        def table(out: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), arrow)], schema=arrow)
+
+        for batch in batches:
             out = []
-            places = zip(pdf["_home"].tolist(), pdf[order].tolist(), pdf["_given"].tolist())
-            for now, (home, at, given), row in zip(_tuples(pdf, piece_key, whole), places, _tuples(pdf, inputs, whole)):
+            places = _tuples(batch, ["_home", order, "_given", "_before", "_was"])
+            for now, (home, at, given, before, was), row in zip(_tuples(batch, piece_key), places, _tuples(batch, inputs)):
                 if now != piece:
                     out += edge()
-                    piece, entry = now, given
-                    state = start if given is None else tuple(json.loads(given))
+                    # a piece that follows one folded just before goes on with its state; nothing to do if it entered with that
+                    if entry is not None and before is not None and piece == (*now[:width], before):
+                        entry = json.dumps(state)
+                    else:
+                        entry, state = given, start if given is None else tuple(json.loads(given))
+                    skip = was is not None and entry == was
+                    piece, entry = now, None if skip else entry
+                if skip or at < 0:
+                    continue
                 own = home == now[width]
                 if own and entry is None:
                     entry = json.dumps(state)
                 state, result = step(state, at, row)
                 if own:
                     out.append((*now, at, *result, None, None))
-            yield pd.DataFrame(out, columns=names, dtype=object)
-        if piece is not None:
-            yield pd.DataFrame(edge(), columns=names, dtype=object)
-
-    def folded(rows: DataFrame) -> DataFrame:
-        # pieces share a Python call: one call for each would cost more than its rows
-        return rows.repartition(*piece_key).sortWithinPartitions(*piece_key, order).mapInPandas(run, schema)
-
+            if out:
+                yield table(out)
+        if entry is not None:
+            yield table(edge())
+
+    def folded(rows: DataFrame, pieces: int = 1) -> DataFrame:
+        # pieces share a Python call: one call for each would cost more than its rows. Dealt by a hash of the keys: after a join
+        # on them the planner would leave a plain repartition out, and the join may still be changed to one that splits pieces
+        run_of = F.xxhash64(*keys, F.floor(F.col("_bucket") / F.lit(pieces)))
+        return rows.repartition(run_of).sortWithinPartitions(*piece_key, order).mapInArrow(run, schema)
+
+    # in repairs a row before all others tells a piece its entry state, the one it had, and the piece before it
+    none = {"_given": F.lit(None).cast("string"), "_before": F.lit(None).cast("long"), "_was": F.lit(None).cast("string")}
     first = cut.withColumn(
         "_bucket", F.explode(F.when(tail, F.array(F.col("_home"), F.col("_home") + 1)).otherwise(F.array("_home")))
-    ).withColumn("_given", F.lit(None).cast("string"))
+    ).withColumns(none)
+
     def stored(pieces: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(rows, edges) of folded pieces, kept apart so that checking reads edges only."""
         table = durable(pieces.withColumn("_edge", F.col("_exit").isNotNull()), "fold", "_edge").select(*names, "_edge")
@@ -99,34 +122,35 @@ def fold(
     rows, edges = stored(folded(first))
     by_group = Window.partitionBy(*keys).orderBy("_bucket")
     given = F.coalesce(F.lag("_exit").over(by_group), F.lit(json.dumps(start)))
-    rounds, source = 0, None
+    done, source, pieces = [rows], None, 1
     while True:
-        checked = edges.select(*piece_key, "_entry", given.alias("_given"))
-        wrong = checked.filter(F.col("_entry") != F.col("_given")).select(*piece_key, "_given")
+        pieces *= RUN_GROWTH
+        checked = edges.select(*piece_key, F.col("_entry").alias("_was"), given.alias("_given"), F.lag("_bucket").over(by_group).alias("_before"))
+        in_run = Window.partitionBy(*keys, F.floor(F.col("_bucket") / F.lit(pieces))).orderBy("_bucket")
+        reached = F.max(F.col("_was") != F.col("_given")).over(in_run)
+        wrong = durable(checked.withColumn("_reached", reached).filter("_reached").drop("_reached"), "wrong")
         if wrong.isEmpty():
             break
         # repairs read a written table, so what comes before the fold is computed twice at most
         source = durable(cut, "cut") if source is None else source
-        again = source.withColumn("_bucket", F.col("_home")).join(wrong, piece_key)
-        new_rows, new_edges = stored(folded(again))
-        redone = new_edges.select(*piece_key)
-        rows = rows.join(redone, piece_key, "left_anti").unionByName(new_rows)
-        edges = edges.join(redone, piece_key, "left_anti").unionByName(new_edges)
-        rounds += 1
-        if rounds % 5 == 0:
-            # keep the plan short when a long chain needs many rounds
-            rows, edges = durable(rows, "fold"), durable(edges, "fold")
+        again = source.withColumn("_bucket", F.col("_home")).join(wrong.select(*piece_key), piece_key, "left_semi")
+        heads = wrong.withColumns({"_home": F.col("_bucket"), order: F.lit(-1).cast(df.schema[order].dataType)})
+        rows, redone = stored(folded(again.unionByName(heads, allowMissingColumns=True), pieces))
+        edges = edges.join(redone.select(*piece_key), piece_key, "left_anti").unionByName(redone)
+        done = [r.join(redone.select(*piece_key), piece_key, "left_anti") for r in done] + [rows]
+    rows = done[0]
+    for more in done[1:]:
+        rows = rows.unionByName(more)
     return rows.select(*keys, order, *result_names)
 
 
-def _tuples(pdf: pd.DataFrame, columns: list[str], whole: set[str]) -> Iterable[tuple]:
-    """Rows as tuples of Python values, missing values as None."""
+def _tuples(batch: pa.RecordBatch, columns: list[str]) -> Iterable[tuple]:
+    """Rows as tuples of Python values, missing values and NaN as None."""
     lists = []
     for c in columns:
-        missing = pdf[c].isna()
-        values = pdf[c].tolist()
-        if missing.any():
-            cast = int if c in whole else (lambda v: v)
-            values = [None if m else cast(v) for v, m in zip(values, missing)]
-        lists.append(values)
+        values = batch.column(c)
+        if pa.types.is_floating(values.type):
+            values = pc.if_else(pc.is_nan(values), None, values)
+        plain = values.null_count == 0 and pa.types.is_primitive(values.type) and not pa.types.is_temporal(values.type) and not pa.types.is_boolean(values.type)
+        lists.append(values.to_numpy().tolist() if plain else values.to_pylist())
     return zip(*lists)
